@@ -17,7 +17,7 @@ EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 
 def looks_like_email(c: Column) -> Column:
-    return strip(c).rlike(EMAIL)
+    return c.contains("@") & strip(c).rlike(EMAIL)
 
 
 def normalize_email(c: Column) -> Column:
@@ -41,7 +41,8 @@ def phone_digits(c: Column) -> Column:
 
 def looks_like_phone(c: Column) -> Column:
     """10 to 15 digits in the display form."""
-    return F.length(phone_digits(normalize_phone(c))).between(10, 15)
+    enough = c.rlike("(?:[0-9][^0-9]*+){10}")
+    return enough & F.length(phone_digits(normalize_phone(c))).between(10, 15)
 
 
 def phone_fingerprint(c: Column) -> Column:

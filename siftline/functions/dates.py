@@ -22,6 +22,7 @@ _DAY_MONTH_NAME = (rf"(?i)^(\d{{1,2}}){BLANK}+({_MONTHS}){BLANK}+(\d{{4}})$", "$
 _MONTH_NAME_DAY = (rf"(?i)^({_MONTHS}){BLANK}+(\d{{1,2}}),{BLANK}+(\d{{4}})$", "$3-$1-$2")
 _SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 _ISO_LIKE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_FORMATS = "|".join([_DAY_FIRST[0], _YEAR_FIRST[0], _DAY_MONTH_NAME[0], _MONTH_NAME_DAY[0], _SLASHED, _ISO_LIKE]).replace("(?i)", "")
 
 # Shapes that count as a date when a column is profiled.
 _DATE_SHAPES = [
@@ -39,6 +40,10 @@ def _month_number(c: Column) -> Column:
     return F.regexp_replace(c, F.lit("-[A-Za-z]+-"), F.concat(F.lit("-"), number, F.lit("-")))
 
 
+def _ends_in_digit(c: Column) -> Column:
+    return F.right(c, F.lit(1)).between("0", "9")
+
+
 def _date(c: Column) -> Column:
     return F.regexp_extract(c, _ISO_LIKE, 0).try_cast("date")
 
@@ -49,7 +54,9 @@ def parse_date(c: Column) -> Column:
     Each format is rewritten to year-month-day text and cast once, so no cell goes through a chain of
     failing parsers. Slashed dates are read month first, then day first.
     """
-    t = strip(c)
+    s = strip(c)
+    # The last character and one pattern turn most other text away.
+    t = F.when(_ends_in_digit(s) & s.rlike("(?i)" + _FORMATS), s)
     for pattern, order in (_DAY_FIRST, _YEAR_FIRST):
         t = F.regexp_replace(t, pattern, order)
     named = t
@@ -74,6 +81,6 @@ def looks_like_date(c: Column) -> Column:
     # Of the formats that parse, only these are not among the shapes.
     rare = F.regexp_extract(F.translate(s, "/", "-"), _ISO_LIKE, 0).try_cast("date").cast("string")
     mixed = s.rlike("^[0-9]{4}(?:-[0-9]+-|/[0-9]+/)[0-9]+$")
-    return F.length(s).between(4, 40) & (
+    return F.length(s).between(4, 40) & _ends_in_digit(s) & (
         shape | (mixed & F.coalesce(rare.between("1900", "2101"), F.lit(False)))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftline.functions.text import BLANK, clean_noise, strip
+from siftline.functions.text import BLANK, BLANK_CHARS, clean_noise, is_noisy, strip
 
 __all__ = [
     "CURRENCY_SIGNS", "coerce_bool", "coerce_number", "detect_currency", "is_bare_small_int",
@@ -25,17 +25,19 @@ FALSE_WORDS = ["false", "f", "no", "n", "0"]
 
 def parse_number(c: Column) -> Column:
     """DOUBLE after dropping ``$``, commas and leading currency signs; NULL when not a finite number."""
-    bare = F.regexp_replace(strip(F.translate(c, "$,", "")), "^(?:" + BLANK + "|[€£₹¥₩₽])+", "")
-    number = F.translate(F.regexp_extract(bare, _NUMBER, 0), "_", "").try_cast("double")
+    bare = F.replace(F.replace(c, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
+    bare = F.ltrim(F.rtrim(bare, F.lit(BLANK_CHARS)), F.lit(BLANK_CHARS + "€£₹¥₩₽"))
+    number = F.replace(F.regexp_extract(bare, _NUMBER, 0), F.lit("_"), F.lit("")).try_cast("double")
     return F.when(F.abs(number) < float("inf"), number)
 
 
 def coerce_number(c: Column) -> Column:
     """``parse_number``, then once more after noise removal (``7[2]`` is 7); e-mails are not numbers."""
     s = strip(c)
-    # Without any digit neither reading can succeed, so most text is decided by one cheap test.
+    # Without any digit neither reading can succeed, and without noise the second one cannot.
     return F.when(
-        s.rlike(r"\d") & ~s.contains("@"), F.coalesce(parse_number(s), parse_number(clean_noise(s)))
+        s.rlike("[0-9]") & ~s.contains("@"),
+        F.coalesce(parse_number(s), F.when(is_noisy(s), parse_number(clean_noise(s)))),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "BLANK", "BLANK_CHARS", "BLANK_IN_LINE", "WORD_CHAR", "clean_cell", "clean_name", "clean_noise",
-    "clean_text", "collapse_blanks", "flatten_newlines", "nonblank", "preprocess_markdown_links",
+    "clean_text", "collapse_blanks", "flatten_newlines", "is_noisy", "nonblank", "preprocess_markdown_links",
     "present", "strip", "strip_unicode_noise", "text_quality_score", "title_case", "word_count",
 ]
 
@@ -69,15 +69,20 @@ def nonblank(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def _where_not_ascii(c: Column, changed: Column) -> Column:
+    """Character tables are only consulted for text with more bytes than characters."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(changed)
+
+
 def strip_unicode_noise(c: Column) -> Column:
     """Drop invisible characters; a no-break space becomes a space."""
-    return F.translate(c, "\u00a0" + INVISIBLE_CHARS, " ")
+    return _where_not_ascii(c, F.translate(c, "\u00a0" + INVISIBLE_CHARS, " "))
 
 
 def _plain_quotes(c: Column) -> Column:
     """Smart quotes and dashes to ASCII."""
     plain = F.translate(c, "\u2019\u201c\u201d\u2013", "'\"\"-")
-    return F.replace(plain, F.lit("\u2014"), F.lit("--"))
+    return _where_not_ascii(c, F.replace(plain, F.lit("\u2014"), F.lit("--")))
 
 
 def _drop_boilerplate(c: Column) -> Column:
@@ -91,14 +96,14 @@ def _drop_boilerplate(c: Column) -> Column:
 def clean_cell(c: Column) -> Column:
     """Heavy cleaning of one table cell; blank results become NULL."""
     t = strip_unicode_noise(strip(c))
-    t = F.translate(_plain_quotes(t), "\x00", "")
+    t = F.replace(_plain_quotes(t), F.lit("\x00"), F.lit(""))
     t = _drop_boilerplate(F.regexp_replace(t, GARBAGE, " "))
     return nonblank(F.regexp_replace(t, BLANK_IN_LINE + "+", " "))
 
 
 def flatten_newlines(c: Column) -> Column:
     """CRLF and lone CR to LF."""
-    return F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def _clean_universal(c: Column) -> Column:
@@ -111,7 +116,7 @@ def _clean_universal(c: Column) -> Column:
 
 
 def _before_txt(c: Column) -> Column:
-    t = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\x00", "")
+    t = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\x00"), F.lit(""))
     return _plain_quotes(t)
 
 
@@ -137,6 +142,11 @@ def clean_text(c: Column, kind: str = "txt") -> Column:
     return _clean_universal(_BEFORE[kind](c))
 
 
+def is_noisy(c: Column) -> Column:
+    """Whether ``clean_noise`` can change more than blanks."""
+    return c.rlike(r"[\[(†‡*^|¦}{~`]|[!?.,;:]{3}")
+
+
 def clean_noise(c: Column) -> Column:
     """Drop ``[..]``, ``(..)``, citation marks and OCR runs; cut repeated punctuation; collapse blanks."""
     t = F.regexp_replace(c, r"(?d)\[.*?\]", "")
@@ -144,8 +154,7 @@ def clean_noise(c: Column) -> Column:
     t = F.regexp_replace(t, r"[†‡*^]+", "")
     t = F.regexp_replace(t, r"([!?.,;:]){3,}", "$1")
     t = F.regexp_replace(t, r"[|¦}{~`]{2,}", "")
-    noisy = c.rlike(r"[\[(†‡*^|¦}{~`]|[!?.,;:]{3}")
-    return collapse_blanks(F.when(noisy, t).otherwise(c))
+    return collapse_blanks(F.when(is_noisy(c), t).otherwise(c))
 
 
 def clean_name(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.columns import ROW_ID, all_of, col, content_columns, fingerprint
@@ -16,11 +16,13 @@ def _digest(parts: list[Column]) -> Column:
 def _first_per_key(df: DataFrame, key: Column) -> DataFrame:
     """The earliest row per key.
 
-    ``row_number() = 1`` is limited before the shuffle too, so a key that holds a third of all rows
-    leaves one row per map task.
+    The row is an aggregate, so a key that holds a third of all rows leaves one row per map task.
     """
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(ROW_ID))
-    return df.withColumn("__key", key).withColumn("__place", place).filter("__place = 1").drop("__key", "__place")
+    rest = [c for c in df.columns if c != ROW_ID]
+    first = df.groupBy(key.alias("__key")).agg(
+        F.min_by(F.struct(*[col(c) for c in rest]), ROW_ID).alias("__row"), F.min(ROW_ID).alias(ROW_ID)
+    )
+    return first.select(*[col(c) if c == ROW_ID else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def dedupe_content(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from siftline.operators.columns import (
     FLAGS, ROW_ID, any_of, col, content_columns, drop_blank_rows, filled, normalize_headers, string_columns,
 )
 from siftline.operators.profile import classify_columns
+from siftline.operators.ranks import head_rows
 
 # Parts of a normalized name that disqualify a column as a source of a role.
 INVALID_NAME_PARTS = ["is_valid_", "is_anomaly", "confidence", "__", "imputed", "metadata"]
@@ -38,10 +39,13 @@ def valid_source_columns(columns: DataFrame) -> DataFrame:
     return columns.filter(_valid_name(F.col("column")))
 
 
-def classify_fields(df: DataFrame, sample: int = 8, within: int = 40) -> DataFrame:
-    """``(role, column)`` from the first ``sample`` filled rows among the first ``within`` rows."""
-    head = df.orderBy(ROW_ID).limit(within)
-    rows = drop_blank_rows(head).orderBy(ROW_ID).limit(sample)
+def sample_rows(df: DataFrame, sample: int = 8, within: int = 40) -> DataFrame:
+    """The first ``sample`` filled rows among the first ``within`` rows."""
+    return drop_blank_rows(head_rows(df, within)).orderBy(ROW_ID).limit(sample)
+
+
+def classify_fields(rows: DataFrame) -> DataFrame:
+    """``(role, column)`` by the types found in some sample rows."""
     role = F.create_map(*[F.lit(w) for pair in ROLES.items() for w in pair])
     return (
         valid_source_columns(classify_columns(rows))

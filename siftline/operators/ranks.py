@@ -147,3 +147,13 @@ def cap_rows(df: DataFrame, n: int = 100_000) -> DataFrame:
         return df
     last = values_at_ranks(ids, {ROW_ID: [n - 1]}, {ROW_ID: size})[ROW_ID, n - 1]
     return df.filter(col(ROW_ID) <= last)
+
+
+def head_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first few rows by row number.
+
+    Only row numbers are ranked; the rows themselves are then found by a filter that reaches the scan,
+    so no column of the other rows is computed.
+    """
+    last = df.select(ROW_ID).orderBy(ROW_ID).limit(n).agg(F.max(ROW_ID)).first()[0]
+    return df.filter(col(ROW_ID) <= F.lit(last)) if last is not None else df.limit(0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline import functions as X
 from siftline.operators.cells import number_lanes
 from siftline.operators.columns import ROW_ID, col, content_columns
+from siftline.operators.ranks import head_rows
 
 
 def _value_rank_like(s: Column) -> Column:
@@ -101,7 +102,7 @@ def dashboard(df: DataFrame, confirmed: list[str] | None = None, preview: int =
         "summary": summary,
         "numeric_series": top.drop("position"),
         "city_distribution": cities,
-        "records": df.orderBy(ROW_ID).limit(preview),
+        "records": head_rows(df, preview),
     }
 
 

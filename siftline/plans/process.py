@@ -14,7 +14,7 @@ from siftline.operators.cells import clean_cells, prune_and_coerce, settle_lanes
 from siftline.operators.columns import ROW_ID, col, drop_blank_rows
 from siftline.operators.dedupe import dedupe_content
 from siftline.operators.extract import extract_records
-from siftline.operators.mapping import FieldMap, classify_fields, coerce_rows, field_map_of, semantic_rows
+from siftline.operators.mapping import FieldMap, classify_fields, coerce_rows, field_map_of, sample_rows, semantic_rows
 from siftline.operators.profile import collect_profile, confirmed_monetary, infer_critical_fields
 from siftline.operators.ranks import cap_rows
 from siftline.operators.summary import numeric_summary
@@ -70,10 +70,11 @@ def process_table(
 
     All rows are processed unless ``max_rows`` caps them.
     """
-    clean = clean_cells(df if max_rows is None else cap_rows(df, max_rows))
     if field_map is None:
-        field_map = field_map_of(classify_fields(clean))
-    rows = semantic_rows(drop_blank_rows(clean), field_map)
+        field_map = field_map_of(classify_fields(clean_cells(sample_rows(df))))
+    # Blank rows go before the cells are cleaned: the test reads the raw cells only.
+    raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
+    rows = semantic_rows(clean_cells(raw), field_map)
     return _shared_tail(rows, field_map, config, staged)
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.session import spread, tuned
+
 _PRICE = "cast(cast(o_totalprice as decimal(18,2)) as string)"
 _DAY = "cast(extract(day from o_orderdate) as string)"
 _MONTH = "cast(extract(month from o_orderdate) as string)"
@@ -73,12 +75,12 @@ MESSY_DOCUMENTS = {"_row_id": "doc_id", "text": MESSY_TEXT}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def _derived(spark: SparkSession, folder: str, name: str, columns: dict[str, str], *picked: str) -> DataFrame:
     wanted = {c: e for c, e in columns.items() if not picked or c in picked or c == "_row_id"}
-    return table(spark, folder, name).selectExpr(*[f"{e} AS `{c}`" for c, e in wanted.items()])
+    return spread(table(spark, folder, name)).selectExpr(*[f"{e} AS `{c}`" for c, e in wanted.items()])
 
 
 def messy_orders(spark: SparkSession, folder: str, *picked: str) -> DataFrame:
