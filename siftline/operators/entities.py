@@ -194,5 +194,5 @@ def document_confidence(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Mean confidence of a document's entities, two digits; 0 without entities."""
     means = entities.groupBy("doc_id").agg(F.avg("confidence").alias("mean"))
     return docs.select("doc_id").join(means, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.bround("mean", 2), F.lit(0.0)).alias("confidence_overall")
+        "doc_id", F.coalesce(F.bround(F.round("mean", 9), 2), F.lit(0.0)).alias("confidence_overall")
     )

@@ -3,8 +3,8 @@
 An entity joins the first kept entity whose text is similar enough, and hands over its text if it is
 more confident. Similarity is the share of the longest common subsequence, 200 * LCS / (a + b),
 rounded half to even; two texts never meet if that ratio fails. The outcome depends on the order of
-the entities, so one group of possibly similar texts is walked in order by a small function, and Spark
-splits the work into such groups:
+the entities, so one group of possibly similar texts is walked in order by a small function over the
+sorted rows, and Spark splits the work into such groups:
 
 * Groups with few distinct texts are walked whole.
 * Larger groups are split into connected parts. Texts that may be similar share a segment at a
@@ -15,7 +15,10 @@ splits the work into such groups:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +52,39 @@ def _may_reach(a: int, b: int, threshold: int) -> bool:
     return a + b == 0 or round(200 * min(a, b) / (a + b)) >= threshold
 
 
-def _walk(group: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Merge one group in order of position."""
-    group = group.sort_values("pos", kind="stable").reset_index(drop=True)
-    values, sure = group["value"].tolist(), group["confidence"].tolist()
-    kept: list[int] = []
-    texts: list[str] = []
-    for i, text in enumerate(group["__text"].tolist()):
-        for other, k in enumerate(kept):
-            if texts[other] == text or (
-                _may_reach(len(texts[other]), len(text), threshold) and similarity(texts[other], text) >= threshold
-            ):
-                if (sure[i] or 0.0) > (sure[k] or 0.0):
-                    values[k], sure[k], texts[other] = values[i], sure[i], text
-                break
-        else:
-            kept.append(i)
-            texts.append(text)
-    out = group.loc[kept].copy()
-    out["value"] = [values[k] for k in kept]
-    out["confidence"] = [sure[k] for k in kept]
-    return out
+def _walk(threshold: int):
+    """A function over sorted batches that merges group after group.
+
+    Rows arrive ordered by group and position, so only the kept entities of the current group are
+    held, however many rows the group has.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept = None, []
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                key = (row["doc_id"], row["entity_type"], row["part"])
+                if key != current:
+                    done += kept
+                    current, kept = key, []
+                text = row["__text"]
+                for other in kept:
+                    near = other["__text"]
+                    if near == text or (
+                        _may_reach(len(near), len(text), threshold) and similarity(near, text) >= threshold
+                    ):
+                        if (row["confidence"] or 0.0) > (other["confidence"] or 0.0):
+                            other.update({k: row[k] for k in ("value", "confidence", "__text")})
+                        break
+                else:
+                    kept.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=batch.schema)
+        if kept:
+            yield pa.RecordBatch.from_pylist(kept, schema=batch.schema)
+
+    return walk
 
 
 def _similar_pairs(threshold: int):
@@ -173,7 +188,7 @@ def fuzzy_dedupe(
     rows = firsts.unionByName(known.filter(~F.col("__even")).drop("__even"))
 
     large = rows.filter("__large")
-    if large.isEmpty():
+    if groups.filter("__large").isEmpty():
         parted = rows.withColumn("part", F.lit(""))
     else:
         texts = large.select(*GROUP, "__text").distinct()
@@ -182,5 +197,6 @@ def fuzzy_dedupe(
             large.join(labels, [*GROUP, "__text"])
         )
     shaped = parted.drop("__large")
-    merged = shaped.groupBy(*GROUP, "part").applyInPandas(lambda group: _walk(group, threshold), shaped.schema)
+    ordered = shaped.repartition(*GROUP, "part").sortWithinPartitions(*GROUP, "part", "pos")
+    merged = ordered.mapInArrow(_walk(threshold), shaped.schema)
     return merged.select(*entities.columns).unionByName(entities.filter(~chosen))

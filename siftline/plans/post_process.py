@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.checkpoints import reliable
 from siftline.operators import entities as E
 from siftline.operators.fuzzy import fuzzy_dedupe
 
@@ -28,7 +29,8 @@ def post_process(entities: DataFrame, relationships: DataFrame | None = None, ty
     text = ~F.col("entity_type").isin("dates", "amounts")
     mergeable = clean.filter(text if types is None else F.col("entity_type").isin(types))
     others = clean.filter(~text if types is None else ~F.col("entity_type").isin(types))
-    split = E.split_payment_methods(fuzzy_dedupe(mergeable))
+    # The merged entities are read several times below; they are stored instead of being merged again.
+    split = reliable(E.split_payment_methods(fuzzy_dedupe(mergeable)))
     merged = fuzzy_dedupe(split, only=[E.PAYMENTS])
     numbered = E.assign_entity_ids(merged.unionByName(others))
     related = None if relationships is None else E.map_relationships(relationships, numbered)

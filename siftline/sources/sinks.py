@@ -43,7 +43,10 @@ def to_table(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """Flat CSV with a header; NULL is an empty cell."""
     flat = to_table(df).drop(ROW_ID)
-    flat.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+    flat.write.mode("overwrite").csv(
+        path, header=True, nullValue="", emptyValue="", escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def _toml_value(c: Column, kind: T.DataType) -> Column:
