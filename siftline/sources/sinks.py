@@ -58,7 +58,7 @@ def _toml_value(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DecimalType):
         return c.cast("string")
     quoted = F.to_json(F.array(c.cast("string")))
-    return F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(c.isNotNull(), F.substr(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def to_toml_lines(df: DataFrame) -> DataFrame:
