@@ -15,39 +15,36 @@ SQL: dict[str, str] = {}
 
 
 def _text(name: str, outs: dict) -> None:
-    QUERIES[name] = lambda s, d: I.messy_documents(s, d).select("_row_id", *[e.alias(o) for o, (e, _) in outs.items()])
+    QUERIES[name] = lambda s, d: I.messy_documents(s, d).select("_row_id", *[e().alias(o) for o, (e, _) in outs.items()])
     SQL[name] = f"WITH {I.DOCUMENTS_CTE} SELECT _row_id, " + ", ".join(f"{q} AS {o}" for o, (_, q) in outs.items()) + " FROM messy"
 
 
-t = F.col("text")
 _TXT = Q.universal(Q.plain_quotes("replace(text, chr(13) || chr(10), chr(10))"))
-_text("clean_text_txt", {"clean": (X.clean_text(t, "txt"), _TXT)})
+_text("clean_text_txt", {"clean": (lambda: X.clean_text(F.col("text"), "txt"), _TXT)})
 _PDF = Q.sub("text", "([a-z])([A-Z])", r"\1 \2")
 _PDF = Q.sub(_PDF, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", r"\1\2")
 _PDF = Q.sub(_PDF, r"\n([a-z])", r" \1")
 _PDF = Q.sub(_PDF, Q.IN_LINE + "+", " ")
 _PDF = Q.sub(_PDF, rf"(?m)^{Q.BLANKS}*\d+{Q.BLANKS}*$", "")
 _PDF = Q.sub(_PDF, rf"(?m)^{Q.BLANKS}*(Page|PAGE){Q.BLANKS}+\d+.*$", "")
-_text("clean_text_pdf", {"clean": (X.clean_text(t, "pdf"), Q.universal(_PDF))})
+_text("clean_text_pdf", {"clean": (lambda: X.clean_text(F.col("text"), "pdf"), Q.universal(_PDF))})
 # Letters beyond ASCII become word characters that RE2 knows, and are put back as one kind of mark.
 _ASCII = Q.sub("text", r"[\x{c0}-\x{24f}]", "_")
 _CSV = Q.sub(Q.sub(Q.sub(_ASCII, r"\bnan\b", "", "gi"), r"\bNone\b", ""), r"\bNaT\b", "")
-_text("clean_text_csv", {
-    "clean": (F.regexp_replace(X.clean_text(t, "csv"), r"[\x{c0}-\x{24f}]+", "é"),
-              Q.universal(Q.sub(_CSV, "_+", "é")))
-})
 QUERIES["clean_text_csv"] = lambda s, d: I.messy_documents(s, d).select(
-    "_row_id", X.clean_text(F.regexp_replace(t, r"[\x{c0}-\x{24f}_]+", "é"), "csv").alias("clean"))
-_text("word_count", {"words": (X.word_count(t), f"cast(case when {Q.strip('text')} = '' then 0 else"
+    "_row_id", X.clean_text(F.regexp_replace(F.col("text"), r"[\x{c0}-\x{24f}_]+", "é"), "csv").alias("clean")
+)
+SQL["clean_text_csv"] = f"WITH {I.DOCUMENTS_CTE} SELECT _row_id, {Q.universal(Q.sub(_CSV, '_+', 'é'))} AS clean FROM messy"
+_text("word_count", {"words": (lambda: X.word_count(F.col("text")), f"cast(case when {Q.strip('text')} = '' then 0 else"
                                f" length(regexp_extract_all(text, '[^\\s\\x{{a0}}]+')) end as integer)")})
-_text("sample_lines", {"sample": (X.sample_lines(t, 1500), f"""left(case when length({Q.strip('text')}) <= 1500
+_text("sample_lines", {"sample": (lambda: X.sample_lines(F.col("text"), 1500), f"""left(case when length({Q.strip('text')}) <= 1500
  or length(string_split({Q.strip('text')}, chr(10))) <= 50 then {Q.strip('text')} else array_to_string(list_concat(list_concat(
  string_split({Q.strip('text')}, chr(10))[1:20],
  string_split({Q.strip('text')}, chr(10))[length(string_split({Q.strip('text')}, chr(10))) // 2 + 1 : length(string_split({Q.strip('text')}, chr(10))) // 2 + 10]),
  string_split({Q.strip('text')}, chr(10))[-10:]), chr(10)) end, 1500)""")})
 _MONEY = r"[$€£₹¥]\s*[\d,]+\.?\d*|\b\d{1,3}(?:,\d{3})+\.\d{2}\b"
 _DATES = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"
-QUERIES["document_type"] = lambda s, d: I.messy_documents(s, d).select("_row_id", X.document_type(t).alias("document_type"))
+QUERIES["document_type"] = lambda s, d: I.messy_documents(s, d).select("_row_id", X.document_type(F.col("text")).alias("document_type"))
 SQL["document_type"] = f"""WITH {I.DOCUMENTS_CTE}, m AS (SELECT _row_id, lower({_ASCII}) AS low FROM messy),
 f AS (SELECT _row_id, low, list_filter(string_split(low, chr(10)), lambda l: {Q.strip('l')} <> '') AS lines,
  length(regexp_extract_all(low, '{_MONEY}')) AS amounts, length(regexp_extract_all(low, '{_DATES}')) AS dates FROM m),
@@ -59,7 +56,7 @@ SELECT _row_id, case when {Q.strip('low')} = '' then 'unknown' when commas / n >
  else 'generic_document' end AS document_type FROM g"""
 
 QUERIES["text_quality_score"] = lambda s, d: I.messy_documents(s, d).select(
-    "_row_id", X.text_quality_score(t).alias("quality")
+    "_row_id", X.text_quality_score(F.col("text")).alias("quality")
 )
 
 # ---- extraction ----------------------------------------------------------------------------------
@@ -89,14 +86,14 @@ def _distinct(values: str, key: str = "x") -> str:
 
 _LISTS = f"""{I.DOCUMENTS_CTE}, raw AS (SELECT _row_id, {_DATE_LIST} AS d0, {_AMOUNT_LIST} AS a0, {_NAME_LIST} AS n0 FROM messy),
 found AS (SELECT _row_id, {_distinct('d0')} AS dates, {_distinct('a0')}[1:10] AS amounts, {_distinct('n0', 'lower(x)')}[1:10] AS names FROM raw)"""
-QUERIES["extract_dates"] = lambda s, d: I.messy_documents(s, d).select("_row_id", F.array_join(X.extract_dates(t), "; ").alias("dates"))
+QUERIES["extract_dates"] = lambda s, d: I.messy_documents(s, d).select("_row_id", F.array_join(X.extract_dates(F.col("text")), "; ").alias("dates"))
 SQL["extract_dates"] = f"WITH {_LISTS} SELECT _row_id, array_to_string(dates, '; ') AS dates FROM found"
 QUERIES["extract_amounts"] = lambda s, d: I.messy_documents(s, d).select(
-    "_row_id", F.posexplode(X.extract_amounts(t)).alias("place", "amount")
+    "_row_id", F.posexplode(X.extract_amounts(F.col("text"))).alias("place", "amount")
 )
 SQL["extract_amounts"] = f"""WITH {_LISTS} SELECT _row_id, unnest(amounts) AS amount,
  cast(generate_subscripts(amounts, 1) - 1 as integer) AS place FROM found"""
-QUERIES["extract_names"] = lambda s, d: I.messy_documents(s, d).select("_row_id", F.array_join(X.extract_names(t), "; ").alias("names"))
+QUERIES["extract_names"] = lambda s, d: I.messy_documents(s, d).select("_row_id", F.array_join(X.extract_names(F.col("text")), "; ").alias("names"))
 SQL["extract_names"] = f"WITH {_LISTS} SELECT _row_id, array_to_string(names, '; ') AS names FROM found"
 QUERIES["extract_records"] = lambda s, d: extract_records(I.messy_documents(s, d))
 _PICK = lambda l: f"coalesce({l}[i + 1], {l}[1])"
