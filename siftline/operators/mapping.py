@@ -40,8 +40,9 @@ def valid_source_columns(columns: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, sample: int = 8, within: int = 40) -> DataFrame:
-    """The first ``sample`` filled rows among the first ``within`` rows."""
-    return drop_blank_rows(head_rows(df, within)).orderBy(ROW_ID).limit(sample)
+    """The first ``sample`` filled rows among the first ``within`` rows, as a local DataFrame."""
+    few = drop_blank_rows(head_rows(df, within)).orderBy(ROW_ID).limit(sample)
+    return df.sparkSession.createDataFrame(few.collect(), few.schema)
 
 
 def classify_fields(rows: DataFrame) -> DataFrame:
@@ -129,10 +130,11 @@ def _pattern_flags(values: list[Column], shortest: int = 0) -> tuple[Column, Col
     return ~mails | valid, ~broken
 
 
-def semantic_rows(df: DataFrame, field_map: FieldMap, keep_surplus: bool = False) -> DataFrame:
+def semantic_rows(df: DataFrame, field_map: FieldMap, keep_surplus: bool = False, clean: bool = True) -> DataFrame:
     """Rows by role, with flags, and the remaining columns under normalized names, cleaned.
 
-    Mapped columns go, so two date columns collapse into one; ``keep_surplus=True`` keeps them.
+    Mapped columns go, so two date columns collapse into one; ``keep_surplus=True`` keeps them. ``clean=False`` leaves the
+    remaining columns as they are, for a following ``coerce_rows`` that cleans every cell anyway.
     """
     roles = _role_values(df, field_map)
     used = set() if keep_surplus else {X.field_name(c) for names in field_map.values() for c in names}
@@ -142,7 +144,7 @@ def semantic_rows(df: DataFrame, field_map: FieldMap, keep_surplus: bool = False
         ROW_ID, *[v.alias("__role_" + r) for r, v in roles.items()], *[col(last[n]).alias(n) for n in rest]
     )
     mail_ok, date_ok = _pattern_flags([col("__role_" + r) for r in roles])
-    return smart_clean_cells(picked).select(
+    return (smart_clean_cells(picked) if clean else picked).select(
         ROW_ID,
         *[col("__role_" + r).alias(r) for r in roles],
         mail_ok.alias("is_valid_email"),

@@ -28,10 +28,15 @@ class Processed:
     validated: DataFrame
     cleaned: FinalClean
     analytics: DataFrame
-    validation: DataFrame
     field_map: FieldMap
     critical: list[str]
 
+    @property
+    def validation(self) -> DataFrame:
+        """Counts of valid cells in the cleaned rows; profiles them, so it is computed on request."""
+        _, rows = collect_profile(self.cleaned.rows)
+        return Q.validation_summary(self.cleaned.rows, rows)
+
 
 def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool) -> Processed:
     coerced = prune_and_coerce(dedupe_content(coerce_rows(rows)))
@@ -48,12 +53,10 @@ def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig |
     money = [r[0] for r in confirmed_monetary(profile).collect()]
     lanes = [c for c in validated.columns if c.startswith("__")]
     cleaned = final_clean(validated.drop(*lanes), config)
-    _, clean_profile = collect_profile(cleaned.rows)
     return Processed(
         validated.drop(*lanes),
         cleaned,
         numeric_summary(validated, money or None),
-        Q.validation_summary(cleaned.rows, clean_profile),
         field_map,
         critical,
     )
@@ -74,7 +77,7 @@ def process_table(
         field_map = field_map_of(classify_fields(clean_cells(sample_rows(df))))
     # Blank rows go before the cells are cleaned: the test reads the raw cells only.
     raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
-    rows = semantic_rows(clean_cells(raw), field_map)
+    rows = semantic_rows(clean_cells(raw), field_map, clean=False)
     return _shared_tail(rows, field_map, config, staged)
 
 
