@@ -85,8 +85,7 @@ def _toml_input(s, d):
 
 QUERIES["to_toml_lines"] = lambda s, d: S.to_toml_lines(_toml_input(s, d))
 SQL["to_toml_lines"] = f"""WITH {I.ORDERS_CTE} SELECT _row_id, '[[data]]' || chr(10) || 'order_id = "' || order_id || '"'
- || coalesce(chr(10) || 'quantity = ' || quantity, '') || coalesce(chr(10) || 'remark = ' || to_json(remark)::varchar, '')
- || coalesce(chr(10) || 'city = ' || to_json(city)::varchar, '')
+ || coalesce(chr(10) || 'quantity = ' || quantity, '') || coalesce(chr(10) || 'city = ' || to_json(city)::varchar, '') || coalesce(chr(10) || 'remark = ' || to_json(remark)::varchar, '')
  || chr(10) || 'gift = ' || case when _row_id % 2 = 0 then 'true' else 'false' end AS toml FROM messy"""
 
 
