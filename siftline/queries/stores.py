@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from siftline.checkpoints import new_path
 from siftline.queries import inputs as I
 from siftline.queries.profiles import _column_list
 from siftline.sources import memory as M
@@ -51,7 +50,7 @@ SQL["lookup_schema_memory"] = f"""WITH {_SIGNED}, {_MEMORY} SELECT "table", sign
 
 
 def _stored(s, d):
-    path = tempfile.mkdtemp(prefix="siftline-store-") + "/documents"
+    path = new_path(s, "documents")
     docs = I.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
     M.save_documents(docs.filter("lang = 'en'"), path)
     M.save_documents(docs.join(I.table(s, d, "documents").filter("lang = 'en'").selectExpr("doc_id AS document_id"), "document_id", "left_anti"), path)
@@ -90,7 +89,7 @@ SQL["to_toml_lines"] = f"""WITH {I.ORDERS_CTE} SELECT _row_id, '[[data]]' || chr
 
 
 def _csv_back(s, d):
-    path = tempfile.mkdtemp(prefix="siftline-csv-") + "/out"
+    path = new_path(s, "csv")
     S.write_csv(I.messy_orders(s, d, "order_id", "email", "quantity"), path)
     return s.read.csv(path, header=True, escape='"')
 
@@ -104,7 +103,7 @@ def _json_back(s, d):
 
     raw = I.messy_customers(s, d)
     done = final_clean(raw)
-    paths = S.write_cleaning_outputs("customers/2024", raw, done.rows, tempfile.mkdtemp(prefix="siftline-json-"), done.stats)
+    paths = S.write_cleaning_outputs("customers/2024", raw, done.rows, new_path(s, "json"), done.stats)
     return s.read.json(paths["final"]).select("_row_id", "customer_name", "contact_email", "balance")
 
 
@@ -113,7 +112,7 @@ QUERIES["write_cleaning_outputs"] = _json_back
 
 def _csv_file(s, d):
     """The orders written as a semicolon file with commas in its cells, for the reading operators."""
-    path = tempfile.mkdtemp(prefix="siftline-in-") + "/orders"
+    path = new_path(s, "orders")
     I.messy_orders(s, d, "order_id", "total_price", "city").drop("_row_id").coalesce(1).write.csv(
         path, sep=";", header=True, escape='"'
     )
