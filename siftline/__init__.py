@@ -1 +1,8 @@
-"""Spark-native cleaning, profiling and extraction of messy tables and text."""
+"""Typed, validated and deduplicated DataFrames from messy tables and texts, on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers by value, so workers need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
