@@ -1,6 +1,6 @@
 """A counterfactual-regularised toxicity classifier.
 
-Features are whether a text holds a word or a word's first letters. Identity terms are swapped in the labelled texts
+Features are whether a text holds a word, or one, two or four distinct words with the same first letters. Identity terms are swapped in the labelled texts
 that hold them, and the change of the score is penalised, so that naming a group does not make a text toxic.
 """
 
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from siftline.llm.tables import stored
 
-# Bounds of training: labelled rows (a sample by hash beyond), candidate features, features kept.
-MOST_ROWS, MOST_CANDIDATES, MOST_FEATURES = 20_000, 50_000, 4_096
-PREFIXES = (3, 4, 5)
+# Bounds of training: labelled rows (a sample by hash beyond) and features kept.
+MOST_ROWS, MOST_FEATURES = 20_000, 4_096
+# Least chi-square of a feature: above what the best of a hundred thousand chance words reaches.
+CHI = 25.0
+PREFIXES, SEVERAL = (3, 4, 5, 6, 7, 8), (2, 4)
 THRESHOLD = 0.3
 
 # Groups of identity terms that stand for each other.
@@ -43,10 +45,15 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def starts_of(word: str) -> list[str]:
+    return ["^" + word[:n] for n in PREFIXES if len(word) > n]
+
+
 def features_of(words: set[str]) -> set[str]:
-    """The words and their first letters."""
-    found = {"^" + w[:n] for w in words for n in PREFIXES if len(w) >= n}
-    return found | words
+    """The words, their first letters, and ``2^..``, ``4^..`` where several words share these."""
+    starts = Counter(p for w in words for p in starts_of(w))
+    found = words | starts.keys()
+    return found.union(f"{k}{p}" for p, n in starts.items() for k in SEVERAL if n >= k)
 
 
 def swapped(words: set[str], groups=IDENTITY_TERMS) -> list[set[str]]:
@@ -66,9 +73,12 @@ class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
 
-    def of_word(self, word: str) -> tuple[tuple[str, float], ...]:
-        names = [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
-        return tuple((f, self.weights[f]) for f in names if f in self.weights)
+    def __post_init__(self):
+        self.starts = {f.lstrip("24") for f in self.weights if "^" in f}
+
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """The word and its first letters, as far as they are features."""
+        return tuple(f for f in (word, *starts_of(word)) if f in self.weights or f in self.starts)
 
 
 class _Memo(dict):
@@ -85,8 +95,13 @@ class _Memo(dict):
 
 
 def score(model: Model, text: str | None, memo: _Memo) -> float:
-    found = dict(f for w in words_of(text) for f in memo[w])
-    return float(1 / (1 + np.exp(-np.clip(model.bias + sum(found.values()), -30, 30))))
+    found = Counter(f for w in words_of(text) for f in memo[w])
+    total = model.bias
+    for f, n in found.items():
+        total += model.weights.get(f, 0.0)
+        if n > 1 and f[0] == "^":
+            total += sum(model.weights.get(f"{k}{f}", 0.0) for k in SEVERAL if n >= k)
+    return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int,
@@ -101,18 +116,24 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
     p_flat = np.concatenate([*(s[0] for s in sign), np.empty(0, int)]).astype(int)
     p_val = np.concatenate([*(s[1] for s in sign), np.empty(0)])
     p_whose = np.repeat(np.arange(len(sign)), [len(s[0]) for s in sign]).astype(int)
-    changed = np.bincount(p_whose, minlength=max(1, len(sign))).max() if len(sign) else 0
-    curve = 0.25 * (1 + (lens.mean() * np.sqrt(lens.max(initial=1)) if len(lens) else 0)) + ridge + penalty * changed
-    step, w, v = 1 / curve, np.zeros(n + 1), np.zeros(n + 1)
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    weight /= weight.sum()
-    for k in range(rounds):
-        z = np.bincount(whose, v[flat], len(rows)) + v[n]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(flat, error[whose], n), error.sum()) + ridge * np.append(v[:n], 0)
+    weight = 1 / max(1, len(rows))
+
+    def times(v: np.ndarray, of_rows) -> np.ndarray:
+        """The gradient of a loss of the rows' sums plus ridge and penalty, all linear in the weights but ``of_rows``."""
+        error = weight * of_rows(np.bincount(whose, v[flat], len(rows)) + v[n])
+        grad = np.append(np.bincount(flat, error[whose], n) + ridge * v[:n], error.sum())
         if len(sign):
             d = np.bincount(p_whose, p_val * v[p_flat], len(sign)) / len(sign)
             grad[:n] += penalty * np.bincount(p_flat, p_val * d[p_whose], n)
+        return grad
+
+    # The step comes from the largest curvature, found by power iteration.
+    w = np.random.default_rng(5).standard_normal(n + 1)
+    for _ in range(30):
+        w = times(w / np.linalg.norm(w), lambda z: 0.25 * z)
+    step, w, v = 0.9 / np.linalg.norm(w), np.zeros(n + 1), np.zeros(n + 1)
+    for k in range(rounds):
+        grad = times(v, lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         new = v - step * grad
         v = new + k / (k + 3) * (new - w)
         w = new
@@ -121,12 +142,12 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np
 
 def train(
     labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
-    penalty: float = 10.0, ridge: float = 1e-4, rounds: int = 600, most_rows: int = MOST_ROWS,
+    penalty: float = 10.0, ridge: float = 1e-4, rounds: int = 1000, most_rows: int = MOST_ROWS,
 ) -> Model:
     """Fit on at most ``most_rows`` labelled rows in expectation, a sample by hash of id and text beyond that.
 
     Rows with a null label are left out. Candidate features are counted by Spark over all these rows; the most
-    telling ones (largest chi-square) and all identity terms are fitted on the driver, whose memory the three
+    telling ones (largest chi-square) and all identity terms are fitted on the driver, whose memory the two
     bounds above limit. With labels of one kind only, the model is a constant.
     """
     rows = labelled.select(
@@ -136,31 +157,41 @@ def train(
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, pos = Counter(), Counter()
+
+        def told() -> Iterator[pd.DataFrame]:
+            names = list(n)
+            for s in range(0, len(names), 50_000):
+                part = names[s:s + 50_000]
+                yield pd.DataFrame({
+                    "f": pd.Series(part, dtype=object), "n": [n[f] for f in part], "p": [pos[f] for f in part],
+                })
+
         for frame in batches:
             for text, y in zip(frame["_text"], frame["_y"]):
                 found = features_of(words_of(text))
                 n.update(found)
                 if y > 0:
                     pos.update(found)
-            if len(n) > 1_000_000:
-                yield pd.DataFrame({"f": list(n), "n": list(n.values()), "p": [pos[f] for f in n]})
-                n, pos = Counter(), Counter()
-        yield pd.DataFrame({"f": list(n), "n": list(n.values()), "p": [pos[f] for f in n]})
+            if len(n) > 500_000:
+                yield from told()
+                n.clear()
+                pos.clear()
+        yield from told()
 
     totals = rows.agg(F.count("*"), F.sum("_y")).first()
     size, positive = int(totals[0]), float(totals[1] or 0)
     if not size or positive in (0, size):
         return Model(bias=8.0 if size and positive else -8.0)
     rate = positive / size
-    least = 2 if size < 1000 else 3
+    least = max(3, size // 600)
     expected = F.col("n") * rate
     table = (
         rows.select("_text", "_y").mapInPandas(counted, "f string, n bigint, p bigint").groupBy("f")
         .agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= least)
         .withColumn("chi", (F.col("p") - expected) ** 2 / (expected * (1 - rate)))
-        .orderBy(F.desc("chi"), "f").limit(MOST_FEATURES).select("f").collect()
+        .filter(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(MOST_FEATURES).select("f").collect()
     )
-    terms = sorted({f for group in IDENTITY_TERMS for f in features_of(set(group))})
+    terms = sorted({t for group in IDENTITY_TERMS for t in group})
     names = list(dict.fromkeys([*(r["f"] for r in table), *terms]))
     number = {f: k for k, f in enumerate(names)}
     known_terms = {t for group in IDENTITY_TERMS for t in group}
@@ -194,14 +225,13 @@ def train(
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_score``; reads the text alone, null and empty texts included."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _Memo(model)
-        for frame in batches:
-            yield frame.assign(_score=[score(model, t, memo) for t in frame[text_col]])
+        for texts in batches:
+            yield pd.Series([score(model, t, memo) for t in texts], dtype=float)
 
-    return docs.mapInPandas(run, schema)
+    return docs.withColumn("_score", of_text(F.col(text_col).cast("string")))
 
 
 def learnable(id_col: Column) -> Column:
