@@ -42,10 +42,11 @@ def dedup_lines(
     lines = stored(based.select(F.col(id_col).alias("_id"), "_th", hashes.alias("_hashes")), "lines")
 
     once = F.explode(F.array_distinct(F.filter("_hashes", lambda x: x.isNotNull())))
-    shared = (
+    # Written, so that the join below deals both sides anew and can split a line that very many documents hold.
+    shared = stored(
         lines.select("_id", once.alias("x")).groupBy("x.h", "x.g")
         .agg(F.count("*").alias("n"), F.max("_id").alias("_keeper"))
-        .filter(F.col("n") >= least_docs).drop("n")
+        .filter(F.col("n") >= least_docs).drop("n"), "shared",
     )
     placed = lines.select("_id", "_th", F.posexplode("_hashes").alias("_pos", "x")).filter("x is not null")
     dropped = (
