@@ -203,7 +203,8 @@ def write_warc(
         yield pd.DataFrame(made, columns=["file", "records", "bytes", "sha1"])
 
     order = ["shard", "page", "digest", F.col("payload").isNotNull(), "url"]
-    written = placed.repartition(min(shards, 100_000), "shard").sortWithinPartitions(*order).mapInPandas(
+    one_each = placed.withColumn("shard", F.col("shard").cast("int")).repartitionById(shards, F.col("shard"))
+    written = one_each.sortWithinPartitions(*order).mapInPandas(
         write, "file string, records bigint, bytes bigint, sha1 string"
     )
     # One run commits all shards; what it returns is checked against the manifests that are read back.
@@ -264,7 +265,9 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield _frame(rows)
 
-    return manifest.select("file").repartition("file").mapInPandas(run, fields)
+    # A number of its own keeps these few short rows, which stand for large files, in as many tasks.
+    files = max(1, min(manifest.count(), 100_000))
+    return manifest.select("file").repartition(files, "file").mapInPandas(run, fields)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
