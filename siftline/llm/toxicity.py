@@ -57,12 +57,15 @@ def features_of(words: set[str]) -> set[str]:
 
 
 def swapped(words: set[str], groups=IDENTITY_TERMS) -> list[set[str]]:
-    """The word set with the identity terms of one group exchanged, once for every other term of it."""
+    """The word set with the identity terms of one group exchanged for every other term of it, and for none.
+
+    Exchanges alone would let all terms of a group become toxic alike; the text without them stands for no group.
+    """
     out = []
     for group in groups:
         named = words.intersection(group)
         if named:
-            out += [(words - named) | {other} for other in group if other not in named]
+            out += [(words - named) | {other} for other in group if other not in named] + [words - named]
     return out
 
 
