@@ -21,8 +21,8 @@ def looks_like_email(c: Column) -> Column:
 
 
 def normalize_email(c: Column) -> Column:
-    """Trimmed, lower-cased, at most 320 characters; NULL when blank."""
-    return F.left(F.lower(nonblank(c)), F.lit(320))
+    """Trimmed, lower-cased; NULL when blank."""
+    return F.lower(nonblank(c))
 
 
 def is_valid_email(c: Column) -> Column:
@@ -31,8 +31,8 @@ def is_valid_email(c: Column) -> Column:
 
 
 def normalize_phone(c: Column) -> Column:
-    """Display form: blanks collapsed, at most 64 characters; NULL when blank."""
-    return F.nullif(F.left(collapse_blanks(c), F.lit(64)), F.lit(""))
+    """Display form: blanks collapsed; NULL when blank."""
+    return F.nullif(collapse_blanks(c), F.lit(""))
 
 
 def phone_digits(c: Column) -> Column:

@@ -41,14 +41,14 @@ def extract_dates(c: Column) -> Column:
     return F.array_distinct(F.transform(raw, lambda d: F.coalesce(parse_date(d), d)))
 
 
-def extract_amounts(c: Column, most: int | None = 10) -> Column:
+def extract_amounts(c: Column, most: int | None = None) -> Column:
     """ARRAY of distinct amounts in text order; bare years are not amounts."""
     raw = F.transform(_all(c, AMOUNT), lambda a: F.translate(a, ",", ""))
     kept = F.filter(raw, lambda a: ~((F.length(a) <= 4) & a.try_cast("double").between(1900, 2100) & ~a.contains(".")))
     return _first(F.array_distinct(F.transform(kept, lambda a: a.try_cast("double"))), most)
 
 
-def extract_names(c: Column, most: int | None = 10) -> Column:
+def extract_names(c: Column, most: int | None = None) -> Column:
     """ARRAY of runs of capitalized words, distinct ignoring case, in text order and first spelling."""
     names = F.filter(
         _all(c, NAME), lambda n: (F.length(n) >= 4) & ~F.lower(n).isin(NOT_NAMES)

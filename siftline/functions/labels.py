@@ -60,13 +60,13 @@ def normalize_city(c: Column) -> Column:
 
 
 def normalize_status(c: Column) -> Column:
-    """``in_progress`` becomes ``In Progress``; at most 256 characters."""
+    """``in_progress`` becomes ``In Progress``."""
     words = F.filter(F.split(clean_name(c), f"(?:{BLANK}|[_-])+"), lambda w: w != "")
     shown = F.array_join(
         F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))),
         " ",
     )
-    return F.nullif(F.left(shown, F.lit(256)), F.lit(""))
+    return F.nullif(shown, F.lit(""))
 
 
 def normalize_payment(c: Column) -> Column:

@@ -76,9 +76,9 @@ def is_salary(x: Column) -> Column:
 
 
 def detect_currency(c: Column) -> Column:
-    """ISO code of the first known sign, a three-letter code in capitals, else eight capitals."""
+    """ISO code of the first known sign, a three-letter code in capitals, else the text in capitals."""
     s = F.upper(strip(c))
     found = F.when(F.coalesce(s, F.lit("")) == "", F.lit(""))
     for sign, code in CURRENCY_SIGNS.items():
         found = found.when(s.contains(sign), F.lit(code))
-    return found.otherwise(F.left(s, F.lit(8)))
+    return found.otherwise(s)

@@ -158,8 +158,8 @@ def clean_noise(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    """Trimmed, collapsed, at most 512 characters; NULL when blank."""
-    return F.nullif(F.left(collapse_blanks(c), F.lit(512)), F.lit(""))
+    """Trimmed, collapsed; NULL when blank."""
+    return F.nullif(collapse_blanks(c), F.lit(""))
 
 
 def title_case(c: Column) -> Column:

@@ -38,7 +38,7 @@ def _smart(s: Column) -> Column:
     return (
         F.when(X.looks_like_email(s), X.normalize_email(s))
         .when(X.looks_like_phone(s), X.normalize_phone(s))
-        .otherwise(F.coalesce(iso, F.left(s, F.lit(2048))))
+        .otherwise(F.coalesce(iso, s))
     )
 
 
@@ -48,11 +48,11 @@ def _typed(s: Column, kind: str) -> Column:
     if kind == "phone":
         return X.normalize_phone(s)
     if kind == "date":
-        return F.coalesce(X.parse_date(s), F.left(s, F.lit(128)))
+        return F.coalesce(X.parse_date(s), s)
     if kind in ("numeric", "monetary"):
         return X.parse_number(s)
     if kind == "identifier":
-        return F.left(s, F.lit(2048))
+        return s
     return _smart(s)
 
 

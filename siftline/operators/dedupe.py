@@ -25,10 +25,16 @@ def _first_per_key(df: DataFrame, key: Column) -> DataFrame:
     return first.select(*[col(c) if c == ROW_ID else F.col("__row")[c].alias(c) for c in df.columns])
 
 
-def dedupe_content(df: DataFrame) -> DataFrame:
+def _apart(within: Column | None) -> list[Column]:
+    """A further part of a key, if rows are compared within groups only."""
+    return [] if within is None else [F.coalesce(within.cast("string"), F.lit("")).alias("__within")]
+
+
+def dedupe_content(df: DataFrame, within: Column | None = None) -> DataFrame:
     """Rows equal in content, ignoring case and outer blanks: the first wins.
 
-    Rows without any content are equal only if their flags are equal as well.
+    Rows without any content are equal only if their flags are equal as well. Rows that differ in
+    ``within`` are never equal.
     """
     content = [F.coalesce(fingerprint(df, c), F.lit("")) for c in sorted(content_columns(df))]
     flags = [
@@ -36,16 +42,16 @@ def dedupe_content(df: DataFrame) -> DataFrame:
         for c in sorted(set(df.columns) - set(content_columns(df)) - {ROW_ID})
     ]
     blank = all_of([c == "" for c in content])
-    return _first_per_key(df, _digest(content + [F.when(blank, f).otherwise(F.lit("")) for f in flags]))
+    return _first_per_key(df, _digest(content + [F.when(blank, f).otherwise(F.lit("")) for f in flags] + _apart(within)))
 
 
-def dedupe_exact(df: DataFrame) -> DataFrame:
+def dedupe_exact(df: DataFrame, within: Column | None = None) -> DataFrame:
     """Wholly equal rows: the first wins."""
-    cells = F.struct(*[col(c) for c in df.columns if c != ROW_ID])
+    cells = F.struct(*[col(c) for c in df.columns if c != ROW_ID], *_apart(within))
     return _first_per_key(df, F.unhex(F.sha2(F.to_json(cells), 256)))
 
 
-def dedupe_by_keys(df: DataFrame, keys: list[str] | None) -> DataFrame:
+def dedupe_by_keys(df: DataFrame, keys: list[str] | None, within: Column | None = None) -> DataFrame:
     """Rows equal in the keys: the most confident wins, the earliest on ties, in the first one's place.
 
     ``None`` keeps all rows; no keys at all means exact deduplication. The winner is an aggregate, so
@@ -55,9 +61,9 @@ def dedupe_by_keys(df: DataFrame, keys: list[str] | None) -> DataFrame:
         return df
     keys = [k for k in keys if k in df.columns]
     if not keys:
-        return dedupe_exact(df)
+        return dedupe_exact(df, within)
     sure = F.coalesce(col("confidence").cast("double"), F.lit(0.0)) if "confidence" in df.columns else F.lit(0.0)
-    parts = [F.coalesce(fingerprint(df, k), F.lit("none")) for k in keys]
+    parts = [F.coalesce(fingerprint(df, k), F.lit("none")) for k in keys] + _apart(within)
     rest = [c for c in df.columns if c != ROW_ID]
     best = (
         df.groupBy(_digest(parts).alias("__key"))

@@ -29,11 +29,6 @@ def _valid_name(name: Column) -> Column:
     return (norm != "") & ~any_of([norm.contains(part) for part in INVALID_NAME_PARTS])
 
 
-def _is_valid_name(name: str) -> bool:
-    norm = X.field_name(name)
-    return bool(norm) and not any(part in norm for part in INVALID_NAME_PARTS)
-
-
 def valid_source_columns(columns: DataFrame) -> DataFrame:
     """The rows of a ``(column)`` DataFrame that may serve as the source of a role."""
     return columns.filter(_valid_name(F.col("column")))
@@ -81,10 +76,12 @@ def field_map_of(rows: DataFrame) -> FieldMap:
 
 def _role_values(df: DataFrame, field_map: FieldMap) -> dict[str, Column]:
     out = {}
+    given = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    usable = {r["column"] for r in valid_source_columns(given).collect()}
     for role, names in field_map.items():
         picks = []
         for c in names:
-            if c not in df.columns or not _is_valid_name(c):
+            if c not in usable:
                 continue
             text = col(c).cast("string")
             ok = filled(df, c)

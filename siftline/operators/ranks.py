@@ -139,7 +139,7 @@ def numeric_outliers(df: DataFrame, name: str) -> DataFrame:
     return df.filter(any_of([x < bounds[0], x > bounds[1]]) & ~F.isnan(x))
 
 
-def cap_rows(df: DataFrame, n: int = 100_000) -> DataFrame:
+def cap_rows(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows by row number, as a filter on the n-th row number (no global sort)."""
     ids = df.select(ROW_ID)
     size = ids.count()

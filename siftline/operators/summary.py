@@ -72,18 +72,18 @@ def numeric_summary(df: DataFrame, confirmed: list[str] | None = None) -> DataFr
     )
 
 
-def location_distribution(df: DataFrame, most: int = 100) -> DataFrame:
-    """The most frequent cities (else locations), first seen first on ties."""
+def location_distribution(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Cities (else locations) by frequency, first seen first on ties; only the ``most`` frequent if asked for."""
     named = [X.nonblank(col(c).cast("string")) for c in ("city", "location") if c in df.columns]
     if not named:
         return df.sparkSession.createDataFrame([], "place string, n bigint")
-    return (
+    places = (
         df.groupBy(F.coalesce(*named).alias("place"))
         .agg(F.count("*").alias("n"), F.min(ROW_ID).alias("seen"))
         .filter(F.col("place").isNotNull())
-        .orderBy(F.desc("n"), "seen").limit(most)
-        .select("place", "n")
+        .orderBy(F.desc("n"), "seen")
     )
+    return (places if most is None else places.limit(most)).select("place", "n")
 
 
 def dashboard(df: DataFrame, confirmed: list[str] | None = None, preview: int = 10) -> dict[str, DataFrame]:

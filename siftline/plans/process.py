@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline import functions as X
@@ -21,6 +21,10 @@ from siftline.operators.summary import numeric_summary
 from siftline.plans.final_clean import CleaningConfig, FinalClean, final_clean
 
 
+# Bits of a row number that count the rows of one document.
+PLACES = 24
+
+
 @dataclass(frozen=True)
 class Processed:
     """Validated rows, cleaned rows, analytics and validation counts."""
@@ -38,8 +42,8 @@ class Processed:
         return Q.validation_summary(self.cleaned.rows, rows)
 
 
-def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool) -> Processed:
-    coerced = prune_and_coerce(dedupe_content(coerce_rows(rows)))
+def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool, within: Column | None = None) -> Processed:
+    coerced = prune_and_coerce(dedupe_content(coerce_rows(rows), within))
     # What follows reads these rows several times: they are stored once instead of being rebuilt.
     coerced = reliable(coerced) if staged else coerced
     data = settle_lanes(coerced)
@@ -52,7 +56,7 @@ def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig |
     validated = marked.withColumn("confidence", sure).drop("had_norm", "anomaly_reason")
     money = [r[0] for r in confirmed_monetary(profile).collect()]
     lanes = [c for c in validated.columns if c.startswith("__")]
-    cleaned = final_clean(validated.drop(*lanes), config)
+    cleaned = final_clean(validated.drop(*lanes), config, within)
     return Processed(
         validated.drop(*lanes),
         cleaned,
@@ -81,15 +85,21 @@ def process_table(
     return _shared_tail(rows, field_map, config, staged)
 
 
+def document_of(row_id: Column) -> Column:
+    """The document of a row of ``process_documents``, from its row number."""
+    return F.shiftright(row_id, PLACES)
+
+
 def process_documents(
-    docs: DataFrame, config: CleaningConfig | None = None, kind: str = "txt", most: int = 10,
+    docs: DataFrame, config: CleaningConfig | None = None, kind: str = "txt", most: int | None = None,
     max_chars: int | None = None, staged: bool = True,
 ) -> Processed:
     """The text job: clean the text, extract rows from it, then as for tables.
 
-    ``docs`` has ``_row_id`` and ``text``; ``_row_id`` numbers the documents.
+    ``docs`` has ``_row_id`` and ``text``; ``_row_id`` numbers the documents. Rows are deduplicated within
+    their document only, so every document keeps at least one row; ``document_of`` gives a row's document.
     """
     clean = docs.select(col(ROW_ID).alias("doc"), X.clean_text(F.col("text"), kind).alias("text"))
     found = extract_records(clean, most=most, max_chars=max_chars)
-    rows = found.withColumn(ROW_ID, F.col("doc") * most + F.col("place")).drop("doc", "place")
-    return _shared_tail(rows, {}, config, staged)
+    rows = found.withColumn(ROW_ID, F.shiftleft("doc", PLACES) + F.col("place")).drop("doc", "place")
+    return _shared_tail(rows, {}, config, staged, document_of(F.col(ROW_ID)))

@@ -61,8 +61,8 @@ SQL["smart_clean_cells"] = (
 _KINDS = {"email": "email", "phone": "phone", "order_date": "date", "total_price": "monetary", "order_id": "identifier"}
 QUERIES["smart_clean_cells_typed"] = lambda s, d: cells.smart_clean_cells(I.messy_orders(s, d, *_KINDS), _KINDS)
 SQL["smart_clean_cells_typed"] = f"""
-WITH {I.ORDERS_CTE} SELECT _row_id, left(lower({Q.nonblank('email')}), 320) AS email, {Q.phone('phone')} AS phone,
- coalesce({Q.date('order_date')}, left({Q.nonblank('order_date')}, 128)) AS order_date,
+WITH {I.ORDERS_CTE} SELECT _row_id, lower({Q.nonblank('email')}) AS email, {Q.phone('phone')} AS phone,
+ coalesce({Q.date('order_date')}, {Q.nonblank('order_date')}) AS order_date,
  {Q.number('total_price')} AS total_price, {Q.nonblank('order_id')} AS order_id FROM messy
 """
 

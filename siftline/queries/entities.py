@@ -101,7 +101,7 @@ SELECT * EXCLUDE (iso) REPLACE (case when entity_type = 'dates' then iso else va
 QUERIES["clean_entity_amounts"] = lambda s, d: E.clean_entity_amounts(_entities(s, d))
 SQL["clean_entity_amounts"] = f"""WITH {BASE} SELECT * REPLACE (
  case when entity_type <> 'amounts' then currency when coalesce(trim(currency), '') = '' then '' when contains(currency, '€') then 'EUR'
-  else left(upper(trim(currency)), 8) end AS currency,
+  else upper(trim(currency)) end AS currency,
  case when entity_type <> 'amounts' then label else {Q.sub(Q.sub('lower(label)', '[^a-z0-9]+', '_'), '^_|_$', '')} end AS label),
  case when entity_type = 'amounts' and number < 0 then 'negative_value' end AS flag FROM entities"""
 QUERIES["split_payment_methods"] = lambda s, d: E.split_payment_methods(_entities(s, d))

@@ -80,7 +80,7 @@ def email_like(x: str) -> str:
 
 
 def phone(x: str) -> str:
-    return f"nullif(left({collapse(x)}, 64), '')"
+    return f"nullif({collapse(x)}, '')"
 
 
 def digits(x: str) -> str:
@@ -155,7 +155,7 @@ def universal(x: str) -> str:
 def smart(x: str) -> str:
     s = strip(x)
     return (
-        f"case when {email_like(x)} then left(lower({s}), 320) when {phone_like(x)} then {phone(x)}"
+        f"case when {email_like(x)} then lower({s}) when {phone_like(x)} then {phone(x)}"
         f" when length({s}) >= 6 and {date_like(x)} and {date(x)} is not null then {date(x)}"
-        f" else nullif(left({s}, 2048), '') end"
+        f" else nullif({s}, '') end"
     )

@@ -85,7 +85,7 @@ def _distinct(values: str, key: str = "x") -> str:
 
 
 _LISTS = f"""{I.DOCUMENTS_CTE}, raw AS (SELECT _row_id, {_DATE_LIST} AS d0, {_AMOUNT_LIST} AS a0, {_NAME_LIST} AS n0 FROM messy),
-found AS (SELECT _row_id, {_distinct('d0')} AS dates, {_distinct('a0')}[1:10] AS amounts, {_distinct('n0', 'lower(x)')}[1:10] AS names FROM raw)"""
+found AS (SELECT _row_id, {_distinct('d0')} AS dates, {_distinct('a0')} AS amounts, {_distinct('n0', 'lower(x)')} AS names FROM raw)"""
 QUERIES["extract_dates"] = lambda s, d: I.messy_documents(s, d).select("_row_id", F.array_join(X.extract_dates(F.col("text")), "; ").alias("dates"))
 SQL["extract_dates"] = f"WITH {_LISTS} SELECT _row_id, array_to_string(dates, '; ') AS dates FROM found"
 QUERIES["extract_amounts"] = lambda s, d: I.messy_documents(s, d).select(
@@ -98,9 +98,9 @@ SQL["extract_names"] = f"WITH {_LISTS} SELECT _row_id, array_to_string(names, ';
 QUERIES["extract_records"] = lambda s, d: extract_records(I.messy_documents(s, d))
 _PICK = lambda l: f"coalesce({l}[i + 1], {l}[1])"
 SQL["extract_records"] = f"""WITH {_LISTS}, sized AS (SELECT *, greatest(length(dates), length(amounts), length(names)) AS longest FROM found),
-places AS (SELECT *, unnest(range(greatest(least(longest, 10), 1))) AS i FROM sized),
+places AS (SELECT *, unnest(range(greatest(longest, 1))) AS i FROM sized),
 picked AS (SELECT _row_id, i, longest, {_PICK('names')} AS pn, {_PICK('amounts')} AS pa, {_PICK('dates')} AS x FROM places)
-SELECT _row_id, cast(i as integer) AS place, pn AS detected_name, pa AS detected_amount, left(x, 32) AS detected_date,
+SELECT _row_id, cast(i as integer) AS place, pn AS detected_name, pa AS detected_amount, x AS detected_date,
  case when longest = 0 then 0.4::double else 0.5::double end AS confidence, false AS is_anomaly, true AS is_valid_email,
  x is null or ({_ISO}) is not null AS is_valid_date, true AS is_valid_numeric FROM picked"""
 QUERIES["conversation_records"] = lambda s, d: extract_records(

@@ -49,7 +49,7 @@ _value("coerce_number", "orders", {
 _value("coerce_bool", "orders", {"paid_flag": ("paid", lambda: X.coerce_bool(c("paid")), Q.boolean("paid"))})
 _value("parse_date", "orders", {"iso": ("order_date", lambda: X.parse_date(c("order_date")), Q.date("order_date"))})
 _value("normalize_email", "orders", {
-    "address": ("email", lambda: X.normalize_email(c("email")), f"left(lower({Q.nonblank('email')}), 320)"),
+    "address": ("email", lambda: X.normalize_email(c("email")), f"lower({Q.nonblank('email')})"),
     "valid": ("email", lambda: X.is_valid_email(c("email")), Q.email_like("email")),
 })
 _value("normalize_phone", "orders", {
@@ -60,8 +60,8 @@ _value("normalize_phone", "orders", {
 _value("phone_fingerprint", "orders", {
     "print": ("phone", lambda: X.phone_fingerprint(c("phone")), f"coalesce(right({Q.digits('phone')}, 10), '')")
 })
-_value("clean_name", "orders", {"name": ("city", lambda: X.clean_name(c("city")), f"nullif(left({Q.collapse('city')}, 512), '')")})
-_CITY = f"nullif(left({Q.collapse('city')}, 512), '')"
+_value("clean_name", "orders", {"name": ("city", lambda: X.clean_name(c("city")), f"nullif({Q.collapse('city')}, '')")})
+_CITY = f"nullif({Q.collapse('city')}, '')"
 _value("normalize_city", "orders", {"city_name": (
     "city", lambda: X.normalize_city(c("city")),
     f"case lower({_CITY}) when 'bengaluru' then 'Bangalore' when 'bangalore' then 'Bangalore' when 'gurgaon' then"
@@ -80,7 +80,7 @@ _value("normalize_payment", "orders", {
 _value("detect_currency", "orders", {"currency": (
     "total_price", lambda: X.detect_currency(c("total_price")),
     "case when coalesce(trim(total_price), '') = '' then '' when contains(total_price, '$') then 'USD' when"
-    " contains(total_price, '€') then 'EUR' else left(upper(trim(total_price)), 8) end",
+    " contains(total_price, '€') then 'EUR' else upper(trim(total_price)) end",
 )})
 _value("normalize_label", "orders", {"label": (
     "status", lambda: X.normalize_label(c("status")), Q.sub(Q.sub("lower(trim(status))", "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,6 @@ from pyspark.sql import types as T
 from siftline import functions as X
 from siftline.operators.columns import ROW_ID, col
 
-LIST_LIMIT = 50
-
 
 def _flat(prefix: str, c: Column, kind: T.DataType, keys: dict[str, list]) -> list[tuple[str, Column]]:
     if isinstance(kind, T.StructType):
@@ -20,14 +19,13 @@ def _flat(prefix: str, c: Column, kind: T.DataType, keys: dict[str, list]) -> li
     if isinstance(kind, T.MapType) and prefix in keys:
         return [f for k in keys[prefix] for f in _flat(f"{prefix}.{k}", F.try_element_at(c, F.lit(k)), kind.valueType, keys)]
     if isinstance(kind, T.ArrayType):
-        # A list is shown by its first items only, as the flat view defines it.
-        items = F.transform(F.slice(c, 1, LIST_LIMIT), lambda x: F.coalesce(x.cast("string"), F.lit("None")))
+        items = F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("None")))
         return [(prefix, F.array_join(items, "; "))]
     return [(prefix, c)]
 
 
 def to_table(df: DataFrame) -> DataFrame:
-    """Nested columns as ``a.b`` columns, lists as text of up to fifty items.
+    """Nested columns as ``a.b`` columns, lists as text of all their items.
 
     The keys of map columns come from one aggregate over the table.
     """
@@ -75,8 +73,8 @@ def to_toml_lines(df: DataFrame) -> DataFrame:
 
 
 def safe_id(document_id) -> str:
-    """A document id as a folder name."""
-    return str(document_id).replace("..", "").replace("/", "_").replace("\\", "_")[:200]
+    """A document id as a folder name; percent-encoded, so different ids never share a folder."""
+    return quote(str(document_id), safe="").replace(".", "%2E")
 
 
 def write_cleaning_outputs(

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import dedupe as D, profile as P, quality as Q, ranks as R
-from siftline.operators.cells import prune_and_coerce, settle_lanes
+from siftline.operators.cells import prune_and_coerce, settle_lanes, smart_clean_cells
 from siftline.plans.final_clean import CleaningConfig, final_clean
-from siftline.plans.process import process_documents, process_table
-from siftline.sources.sinks import to_toml_lines, write_cleaning_outputs
+from siftline.plans.process import document_of, process_documents, process_table
+from siftline.sources.sinks import safe_id, to_table, to_toml_lines, write_cleaning_outputs
 
 STAFF = "staff_id string, name string, email string, phone string, start_date string, salary bigint, team string"
 
@@ -175,9 +175,28 @@ def test_process(staff):
 def test_outputs(staff, tmp_path):
     done = final_clean(staff)
     paths = write_cleaning_outputs("a/b..c", staff, done.rows, str(tmp_path), done.stats)
-    assert "document_id=a_bc" in paths["final"]
+    assert "document_id=a%2Fb%2E%2Ec" in paths["final"]
     summary = staff.sparkSession.read.json(paths["summary"]).first()
     assert summary["cleaning_summary"]["schema_field_count"] == 7 and summary["field_types"]["email"] == ["email"]
     assert "summary" not in write_cleaning_outputs("d", staff, done.rows, str(tmp_path))
     block = to_toml_lines(done.rows).filter("_row_id = 3").first()["toml"]
     assert "email" not in block and "salary = 48000" in block and json.loads(block.split("name = ")[1].split("\n")[0]) == "dia roy"
+
+
+def test_documents_keep_their_own_rows(spark):
+    text = "Invoice of Ana Ruiz over $1,200.00 on 2024-01-02"
+    dates = " ".join(f"2024-{m:02d}-{d:02d}" for m in range(1, 4) for d in range(1, 11))
+    docs = spark.createDataFrame([(0, text), (1, text), (2, "plain words"), (3, dates)], "_row_id bigint, text string")
+    done = process_documents(docs)
+    found = done.validated.select(document_of(F.col("_row_id")).alias("d")).groupBy("d").count().collect()
+    assert dict(found) == {0: 1, 1: 1, 2: 1, 3: 30}
+    kept = done.cleaned.rows.select(document_of(F.col("_row_id")).alias("d")).distinct().collect()
+    assert {r.d for r in kept} >= {0, 1, 3}
+
+
+def test_long_cells_stay_whole(spark):
+    long = "é" + "x" * 5000
+    df = spark.createDataFrame([(0, long, [str(k) for k in range(60)])], "_row_id bigint, note string, items array<string>")
+    assert smart_clean_cells(df.drop("items")).first()["note"] == long
+    assert to_table(df).first()["items"].count(";") == 59
+    assert len({safe_id(i) for i in ("a/b", "a_b", "a\\b", "..", "a" * 300, "a" * 301)}) == 6
