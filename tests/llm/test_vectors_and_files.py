@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.blocks import components
 from siftline.llm.jaccard import _common, _survivors, jaccard_groups, least_matches, one_of_each_group, signature
-from siftline.llm.packing import make_plan, pack_documents, packed_sequences, token_pieces
+from siftline.llm.packing import encoder, make_plan, pack_documents, packed_sequences, token_pieces
 from siftline.llm.toxicity import THRESHOLD, swapped, toxicity, train
 from siftline.llm.vectors import near_vectors
 from siftline.llm.warc import read_warc, write_warc
@@ -150,6 +150,20 @@ def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    whole = tokenizers.Tokenizer.from_file(vocabulary())
+    whole.encode_special_tokens = True
+    encode = encoder(vocabulary())
+    texts = [" " * 400_000 + "x", "\n" * 60_000 + "a" * 60_000, "I'll <|endoftext|> go  there\x1c \x85\u3000 \u00fcn\u00ef\u0301 12\u00b2", ""]
+    # All code points up to 0x3000 and some of the rest, beside letters, digits, marks and themselves.
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 16 == 0)]
+    texts += ["".join(f"a{c}b 1{c}2 {c}{c} ,{c}! " for c in points[s:s + 500]) for s in range(0, len(points), 500)]
+    for text in texts:
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    words = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    assert encoder(words)("Hello there") == tokenizers.Tokenizer.from_file(words).encode("Hello there", add_special_tokens=False).ids
+
+
 def test_packing_is_exact(spark):
     rng = np.random.default_rng(10)
     words = ["the", "it's", "né", "a  b", "tab\tx", "line\n\nbreak", " ", "日本", "don't.", "x" * 300, " y", "12 345", "\r\n", "<|endoftext|>"]
