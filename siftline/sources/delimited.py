@@ -52,19 +52,25 @@ def _header(spark: SparkSession, path: str) -> str:
     return first[0].lstrip("\ufeff") if first else ""
 
 
-def detect_delimiter(spark: SparkSession, path: str) -> DataFrame:
-    """``(delim, n_cols, n_rows, score)`` of every candidate with at least two columns, best first."""
-    header, rows = _header(spark, path), inspect_delimited(spark, path)["n_rows"]
-    found = []
-    for place, delim in enumerate(DELIMITERS):
+def _splits(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Delimiters that split the header into two or more columns with the number of those, best first."""
+    header, found = _header(spark, path), []
+    for delim in DELIMITERS:
         cells = next(csv.reader([header], delimiter=delim, skipinitialspace=True), [])
-        n = sum(1 for c in cells if c.strip())
-        if n >= 2:
-            found.append((delim, n, rows, n * 1_000_000 + rows, place))
+        found.append((delim, sum(1 for c in cells if c.strip())))
+    found = sorted((d for d in found if d[1] >= 2), key=lambda d: -d[1])
     if not found:
         raise ValueError(f"{path} does not split into two or more columns")
+    return found
+
+
+def detect_delimiter(spark: SparkSession, path: str) -> DataFrame:
+    """``(delim, n_cols, n_rows, score)`` of every candidate with at least two columns, best first."""
+    found = _splits(spark, path)
+    rows = inspect_delimited(spark, path)["n_rows"]
+    scored = [(delim, n, rows, n * 1_000_000 + rows, place) for place, (delim, n) in enumerate(found)]
     schema = "delim string, n_cols bigint, n_rows bigint, score bigint, place int"
-    return spark.createDataFrame(found, schema).orderBy(F.desc("score"), "place").drop("place")
+    return spark.createDataFrame(scored, schema).orderBy(F.desc("score"), "place").drop("place")
 
 
 def read_delimited(spark: SparkSession, path: str, delim: str | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -75,7 +81,8 @@ def read_delimited(spark: SparkSession, path: str, delim: str | None = None, mul
     surplus cells are dropped. ``_row_id`` follows the splits of the files, so it is stable as long as
     the files and the split size are.
     """
-    delim = delim or detect_delimiter(spark, path).first()["delim"]
+    # All candidates have the same rows, so the header alone decides.
+    delim = delim or _splits(spark, path)[0][0]
     facts = inspect_delimited(spark, path)
     raw = spark.read.csv(
         path, sep=delim, header=True, encoding=facts["encoding"], escape='"', mode="PERMISSIVE",
