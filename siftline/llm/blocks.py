@@ -59,6 +59,19 @@ def _roots(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
             return label
 
 
+def dealt(members: DataFrame, group: str, member: str, weight: Column, room: int) -> DataFrame:
+    """``members`` once for every pair ``_low``, ``_high`` of blocks that their own ``_block`` takes part in."""
+    sizes = members.groupBy(group).agg(F.ceil(F.sum(weight) / room).cast("int").alias("_blocks"))
+    return (
+        members.join(sizes, group)
+        .withColumn("_block", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("_low", F.least("_block", "_other"))
+        .withColumn("_high", F.greatest("_block", "_other"))
+        .drop("_blocks", "_other")
+    )
+
+
 def linked_in_blocks(
     members: DataFrame, group: str, member: str, weight: Column, room: int,
     linked: Callable[[Arrays, Arrays], np.ndarray],
@@ -70,15 +83,7 @@ def linked_in_blocks(
     once for every pair of blocks in which it has a link. ``linked(a, b)`` gets the columns of two blocks and
     returns a matrix of truth values. Memory of a task follows ``room``, the weight of a block.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.sum(weight) / room).cast("int").alias("_blocks"))
-    dealt = (
-        members.join(sizes, group)
-        .withColumn("_block", F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_blocks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("_low", F.least("_block", "_other"))
-        .withColumn("_high", F.greatest("_block", "_other"))
-        .drop("_blocks", "_other")
-    )
+    blocks = dealt(members, group, member, weight, room)
     types = dict(members.dtypes)
 
     def compare(rows: Arrays) -> Arrays | None:
@@ -108,7 +113,7 @@ def linked_in_blocks(
         }
 
     schema = f"`{group}` {types[group]}, `{member}` {types[member]}, links bigint, root {types[member]}"
-    return by_group(dealt, [group, "_low", "_high"], compare, schema)
+    return by_group(blocks, [group, "_low", "_high"], compare, schema)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -13,7 +13,7 @@ from siftline.llm.blocks import components
 from siftline.llm.jaccard import _common, _survivors, jaccard_groups, least_matches, one_of_each_group, signature
 from siftline.llm.packing import encoder, make_plan, pack_documents, packed_sequences, token_pieces
 from siftline.llm.toxicity import THRESHOLD, swapped, toxicity, train
-from siftline.llm.vectors import near_vectors
+from siftline.llm.vectors import _by_passes, near_vectors
 from siftline.llm.warc import read_warc, write_warc
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -146,6 +146,35 @@ def test_vectors_by_brute_force(spark):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def planted_pairs(n, pairs, common, seed):
+    """``n`` unit vectors with a mean cosine of about ``common``, ``pairs`` of them with a partner just above 0.98."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal(64)) * np.sqrt(common) + unit(rng.standard_normal((n, 64))) * np.sqrt(1 - common)
+    turn = rng.standard_normal((pairs, 64))
+    own = unit(base[:pairs])
+    turn = unit(turn - (turn * own).sum(axis=1, keepdims=True) * own)
+    return np.concatenate([unit(base), 0.981 * own + np.sqrt(1 - 0.981**2) * turn])
+
+
+@pytest.mark.parametrize("common, whole, window, by_passes", [(0.95, 10**6, 48, None), (0.95, 1000, 2, False), (0.0, 1000, 48, True)])
+def test_vectors_of_dense_labels(spark, monkeypatch, common, whole, window, by_passes):
+    from siftline.llm import vectors
+
+    took = []
+    monkeypatch.setattr(vectors, "_by_passes", lambda *a: took.append(_by_passes(*a)) or took[-1])
+    x = planted_pairs(4000, 1000, common, 12)
+    match = x @ x.T >= 0.98
+    np.fill_diagonal(match, False)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    # Small blocks, so that pairs of blocks meet in tasks of their own.
+    got = {r.vec_id: r for r in near_vectors(table, whole=whole, window=window, room=1 << 17).collect()}
+    assert [got[k].n_links for k in range(len(x))] == match.sum(axis=1).tolist()
+    group = labels_of(len(x), [tuple(map(int, p)) for p in np.argwhere(match) if p[0] > p[1]])
+    assert [got[k].component_id for k in range(len(x))] == group
+    assert [passed == {"64:1"} for passed, _ in took] == ([] if by_passes is None else [by_passes])
+
+
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
