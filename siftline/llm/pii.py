@@ -22,9 +22,10 @@ _BEFORE = "(?:" + "|".join([*TITLES, *MALE, *FEMALE]) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 # The type of an entity and its pattern, in order of preference. Each begins with what fails fastest, since every
-# pattern is tried at every character of a text.
+# pattern is tried at every character of a text. An e-mail address is tried once per run of its characters, whole,
+# with the punctuation in front of it, and right after another entity.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
+    "email": r"(?=[A-Za-z0-9._%+-])(?:(?<![A-Za-z0-9._%+-])|\G)[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "phone": r"(?=[+(\d])(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -36,13 +37,16 @@ PATTERNS = {
     "surname": rf"(?=\p{{Lu}})(?<=\s)(?<=(?<!\p{{L}}){_BEFORE}\s){_NAME}",
 }
 
-# All types at once, behind a first character that few places of a text have.
+# All types at once, behind a first character that few places of a text have. E-mail addresses come first, as they may
+# begin like any other type.
 ANY = "|".join([
+    PATTERNS["email"],
     "(?=[0-9+(])(?:" + "|".join(PATTERNS[t] for t in ("ip", "phone", "ssn", "card")) + ")",
     r"(?=\p{Lu})(?:" + "|".join(PATTERNS[t] for t in ("iban", "given", "surname")) + ")",
-    PATTERNS["secret"], PATTERNS["email"],
+    PATTERNS["secret"],
 ])
-# Texts without any of these hold no entity.
+# Texts without any of these, "@", "=" or "AKIA" hold no entity.
+_NUMBERED = r"[0-9]\.?[0-9]"
 _NAMED = rf"(?=\p{{Lu}}|г)(?:{_BEFORE})\s\p{{Lu}}"
 
 # Surrogate names are built from syllables, one table per script.
@@ -84,7 +88,7 @@ def _kind(c: Column) -> Column:
 def _normal(kind: Column, c: Column) -> Column:
     """What mentions of one entity have in common: letters' case, blanks and punctuation do not count."""
     return (
-        F.when(kind == "email", F.lower(c))
+        F.when(kind == "email", F.lower(F.regexp_replace(c, r"^[._%+-]+", "")))
         .when(kind == "phone", F.right(_digits(c), F.lit(10)))
         .when(kind.isin("ssn", "card"), _digits(c)).when(kind == "iban", F.replace(c, F.lit(" "), F.lit("")))
         .when(kind.isin("surname", "male", "female"), F.initcap(c)).otherwise(c)
@@ -162,7 +166,9 @@ def _as_written(kind: Column, mention: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("phone", "ssn", "card"), punctuated).when(kind == "iban", spaced)
         .when(kind.isin("male", "female", "surname") & mention.rlike(_UPPER_HALF), F.upper(value))
-        .when((kind == "email") & (mention == F.upper(mention)), F.upper(value)).otherwise(value)
+        .when(kind == "email", F.concat(
+            F.regexp_extract(mention, r"^[._%+-]*", 0), F.when(mention == F.upper(mention), F.upper(value)).otherwise(value),
+        )).otherwise(value)
     )
 
 
@@ -191,7 +197,7 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     Types: e-mail addresses, phone and card numbers (with a valid check digit), social security and bank account
     numbers, IP addresses, names after a title or beside a known given name, access keys, tokens and passwords. A
     phone number is known by its last ten digits, so the ways to write it share a surrogate and keep their own
-    punctuation; names keep gender and script, cards their issuer digit and a valid check digit, addresses their
+    punctuation; punctuation in front of an e-mail address is no part of it; names keep gender and script, cards their issuer digit and a valid check digit, addresses their
     top-level domain and, for a common domain, a common surrogate.
 
     Null texts stay null and empty ones empty. Ids may be null or repeated: rows are matched by id and hash of the
@@ -199,7 +205,7 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     """
     based = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
     text = F.col(text_col)
-    maybe = text.contains("@") | text.contains("=") | text.contains("AKIA") | text.rlike("[0-9]{2}") | text.rlike(_NAMED)
+    maybe = text.contains("@") | text.contains("=") | text.contains("AKIA") | text.rlike(_NUMBERED) | text.rlike(_NAMED)
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     mentions = stored(
         based.select(F.col(id_col).alias("_mid"), F.col("_th").alias("_mth"), F.posexplode(found).alias("_pos", "mention"))
