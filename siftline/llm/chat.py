@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftline.llm.tables import stored
+
 # The marks of the template.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 
@@ -41,8 +43,9 @@ def chat_windows(
 
     Prefix sums of the tokens of the turns choose the spans: a window takes turns while the sum since its first one
     stays within what the system turn and the history leave of the budget. A turn longer than that has a window of
-    its own. Windows also break after every ``CHUNK`` numbers of ``turn``, so a conversation of any length spreads
-    over tasks and no task holds it whole.
+    its own. Windows also break after every ``CHUNK`` numbers of ``turn``, and after every ``CHUNK`` rows where more
+    rows than that share these numbers or have none, so a conversation of any length spreads over tasks and no task
+    holds it whole.
 
     Null texts and roles are empty. Turns with equal or null numbers are ordered by role and text (null numbers
     first), repeated rows are kept, null ids form one conversation, an empty table gives no windows, and other
@@ -60,15 +63,14 @@ def chat_windows(
     )
     row = F.struct(order.alias("at"), F.col("_tokens").alias("tokens"))
 
-    # The first row of each conversation may be its system turn; an aggregate finds it without a sort.
-    first = base.groupBy("conv_id").agg(F.min(row).alias("first"))
-    system = first.filter("first.at.role = 'system'").select(
-        F.col("conv_id").alias("_of"), F.col("first").alias("system"),
+    # The first row of each conversation may be its system turn; an aggregate finds it and the first chunk without a sort.
+    first = base.groupBy("conv_id").agg(F.min(F.struct("chunk", row.alias("row"))).alias("first")).select(
+        F.col("conv_id").alias("_of"), F.col("first.chunk").alias("_first"),
+        F.when(F.col("first.row.at.role") == "system", F.col("first.row")).alias("system"),
     )
-    chunks = base.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    chunks = chunks.join(system, F.col("conv_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    is_first = F.row_number().over(Window.partitionBy("conv_id").orderBy("chunk")) == 1
-    chunks = chunks.withColumn("opens", is_first)
+    chunks = _numbered(base).groupBy("conv_id", "chunk", "_part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    chunks = chunks.join(first, F.col("conv_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    chunks = chunks.withColumn("opens", (F.col("chunk") == F.col("_first")) & (F.col("_part") == 0))
 
     # Prefix sums, then the places where windows begin: an array of (first, last) by one pass over the sums.
     sums = F.aggregate("rows", F.array(F.lit(0).cast("bigint")), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + r.tokens)))
@@ -116,8 +118,40 @@ def chat_windows(
         F.when(target(p), F.length(p.said).cast("bigint")).alias("loss_chars"),
     ))
     return spans.select(
-        "conv_id", "chunk", "window", F.array_join("texts", "").alias("formatted"), marks.alias("turns"),
+        "conv_id", "chunk", (F.col("_part") * CHUNK + F.col("window")).alias("window"),
+        F.array_join("texts", "").alias("formatted"), marks.alias("turns"),
+    )
+
+
+def _numbered(base: DataFrame) -> DataFrame:
+    """``base`` with ``_part``, which numbers runs of ``CHUNK`` rows in order within each chunk.
+
+    Chunks of up to ``CHUNK`` rows are part 0. The rows of larger ones are ranked by a sort over all tasks and the
+    counts of each task, so that no task meets a chunk whole. Equal rows are dealt at random, which no result shows.
+    """
+    counts = base.groupBy("conv_id", "chunk").count().filter(F.col("count") > CHUNK)
+    large = counts.select(F.col("conv_id").alias("_of"), F.col("chunk").alias("_at"))
+    if large.isEmpty():
+        return base.withColumn("_part", F.lit(0).cast("bigint"))
+    same = F.col("conv_id").eqNullSafe(F.col("_of")) & (F.col("chunk") == F.col("_at"))
+    order = ["conv_id", "chunk", "_turn", "_role", "_text", "_tie"]
+    ranked = base.join(large, same, "left_semi").withColumn("_tie", F.rand(7))
+    ranked = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a row within its task is what remains of its id; the file keeps both as they were.
+    ranked = stored(ranked.select(
+        *base.columns, F.spark_partition_id().alias("_task"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth"),
+    ), "turns")
+    tasks = ranked.groupBy("conv_id", "chunk", "_task").agg(F.min("_nth").alias("low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id", "chunk").orderBy("_task")) - F.col("n")
+    tasks = tasks.select(
+        F.col("conv_id").alias("_of"), F.col("chunk").alias("_at"), F.col("_task").alias("_in"),
+        (before - F.col("low")).alias("shift"),
     )
+    ranked = ranked.join(tasks, same & (F.col("_task") == F.col("_in")))
+    ranked = ranked.withColumn("_part", F.floor((F.col("_nth") + F.col("shift")) / CHUNK)).select(*base.columns, "_part")
+    few = base.join(large, same, "left_anti").withColumn("_part", F.lit(0).cast("bigint"))
+    return few.unionByName(ranked)
 
 
 def read_back(windows: DataFrame) -> DataFrame:

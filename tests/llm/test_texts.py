@@ -92,6 +92,27 @@ def test_chat_round_trip_and_masks(spark):
     assert read_back(chat_windows(table.limit(0))).count() == 0
 
 
+def test_chat_turns_without_numbers_of_their_own(spark):
+    turns = [(1, None, "assistant", f"null {k}") for k in range(900)] + [(1, 7, "user", f"same {k}") for k in range(700)]
+    turns += [(1, 7, "assistant", "equal")] * 600 + [(2, None, "system", "rules")] + [(2, None, "user", f"u{k}") for k in range(255)]
+    turns += [(None, 5, "system", "a")] + [(None, 5, "user", f"n{k}") for k in range(400)] + [(3, 0, "user", "few"), (3, 300, "user", "far")]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    windows = chat_windows(table, budget=10**9).cache()
+    sizes = [sum(t.fresh for t in r.turns) for r in windows.collect()]
+    assert sum(sizes) == len(turns) and max(sizes) <= 256
+    # Runs are full but for the last one of each group of numbers.
+    per = collections.Counter(r.conv_id for r in windows.collect())
+    assert per == {1: 4 + 6, 2: 1, None: 2, 3: 2}
+    assert len({(r.conv_id, r.chunk, r.window) for r in windows.collect()}) == len(sizes)
+    got = {r.conv_id: r for r in chat_digests(windows).collect()}
+    for conv in (1, 2, 3, None):
+        own = sorted((t is not None, t or 0, r, x) for c, t, r, x in turns if c == conv)
+        assert got[conv].n_turns == len(own)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in own).encode()).hexdigest()
+    for r in windows.filter("conv_id is null").collect():
+        assert r.turns[0].role == "system" and sum(t.role == "system" for t in r.turns) == 1
+
+
 def lines_by_hand(rows):
     def key(x):
         return x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
