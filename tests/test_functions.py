@@ -30,7 +30,7 @@ def apply(spark, build, values):
     (X.title_case, {"o'neil 3rd": "O'Neil 3Rd", "ANNA marie": "Anna Marie", "élan vital": "Élan Vital"}),
     (X.normalize_status, {"in_progress": "In Progress", "PAID": "Paid", " - ": None}),
     (X.normalize_city, {"Bombay": "Mumbai", "new  york": "New York", " ": None}),
-    (X.detect_currency, {"12 $": "USD", "gbp": "GBP", "₹": "INR", "": "", None: "", "long words": "LONG WOR"}),
+    (X.detect_currency, {"12 $": "USD", "gbp": "GBP", "₹": "INR", "": "", None: "", "long words": "LONG WORDS"}),
     (X.normalize_label, {"Grand Total!": "grand_total", None: ""}),
     (X.is_payment_method, {"Visa card": True, "cashier": False, "e-wallet": True, "x" * 41 + " cash": False, "": False}),
     (X.strip_unicode_noise, {"a​b c": "ab c", "plain": "plain"}),
