@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.checkpoints import new_path
+from siftline.llm.alignment import align_tokenizers
+from siftline.llm.bytebpe import decode_documents, encode_documents
 from siftline.llm.chat import chat_digests, chat_windows
 from siftline.llm.jaccard import jaccard_groups
 from siftline.llm.linededup import dedup_lines
@@ -18,6 +20,7 @@ from siftline.llm.tables import table
 from siftline.llm.toxicity import toxicity
 from siftline.llm.vectors import near_vectors
 from siftline.llm.warc import read_warc, write_warc
+from siftline.llm.whitening import whiten
 
 # The wanted mixture: sources alike, English held down, prose in front.
 TARGETS = {
@@ -29,11 +32,11 @@ SHARE = 0.6
 SURROGATE_KEY = "example-key-for-tests"
 
 
-def vocabulary() -> str:
-    """The tokenizer file that the queries use; operators take its path as a parameter."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A tokenizer file that the queries use; operators take its path as a parameter."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,9 +101,36 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whiten(table(spark, folder, "embeddings"))
+    # Exact as a decimal; a long holds it up to about 10^8 distinct vectors of the given kind.
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = align_tokenizers(docs, vocabulary(), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        digest.alias("groups_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(table(spark, folder, "documents").select("doc_id", "text"), ranks)
+    return decode_documents(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_chat_windows, op3_best_fit_packing, op4_warc, op5_surrogates, op6_toxicity,
     op7_near_vectors, op8_line_dedup, op9_jaccard_join, op10_mix_sources,
+    op11_whitening, op12_align_tokenizers, op13_byte_bpe,
 )}
 
 
