@@ -34,8 +34,8 @@ LETTERS, NUMBERS, OTHERS, BLANKS, SPACE, TWO_LEFT, ONE_LEFT, DONE = STATES = ran
 ENDS_ONE, ENDS_TWO = "stmd", ("re", "ve", "ll")
 
 WINDOW = 1 << 18  # code points that are scanned at once
-GROUP = 1 << 21  # characters of texts that are handled together
-CACHED = 1 << 19  # words in the cache, of up to LONGEST bytes
+GROUP = 1 << 20  # characters of texts that are handled together
+CACHED = 1 << 18  # words in the cache, of up to LONGEST bytes
 LONGEST = 64
 NONE = 1 << 40  # no rank
 
@@ -207,8 +207,13 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[word[k:end[k]]] for k in range(n) if not gone[k])
 
 
+def packed(ids) -> bytes:
+    """Ids as little-endian numbers of 32 bits, which take a fraction of the memory of tuples."""
+    return np.asarray(ids, "<u4").tobytes()
+
+
 class Merges(dict):
-    """Ids of words. Short words that are new are merged side by side, one pair of each at a time, by a table of pairs;
+    """Packed ids of words. Short words that are new are merged side by side, one pair of each at a time, by a table of pairs;
     their ids stay in this cache, whose size is bounded."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -230,8 +235,8 @@ class Merges(dict):
         known = (self.keys_of_pairs[at] == key) & (left >= 0) & (right >= 0) if len(self.keys_of_pairs) else np.zeros(len(key), bool)
         return np.where(known, self.ranks_of_pairs[at] if len(self.keys_of_pairs) else NONE, NONE)
 
-    def merged_together(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of words of up to ``LONGEST`` bytes, of which none is a token."""
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of up to ``LONGEST`` bytes, of which none is a token."""
         n = np.fromiter(map(len, words), np.int64, len(words))
         wide = int(n.max())
         column = np.arange(wide)
@@ -258,22 +263,22 @@ class Merges(dict):
             inner = at > 0
             ranks[row[inner], at[inner] - 1] = self.pair_ranks(ids[row[inner], at[inner] - 1], best[inner])
         kept = done >= 0
-        flat, ends = done[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-        return [tuple(flat[s:e]) for s, e in zip([0, *ends[:-1]], ends)]
+        flat, ends = packed(done[kept]), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
-    def of_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of every word."""
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of every word."""
         new = set(words) - self.keys()
         if len(self) + len(new) > CACHED:
             self.clear()
             new = set(words)
-        long: dict[bytes, tuple[int, ...]] = {}
+        long: dict[bytes, bytes] = {}
         by_size: dict[int, list[bytes]] = {}
         for word in new:
             if (whole := self.ranks.get(word)) is not None:
-                self[word] = (whole,)
+                self[word] = packed([whole])
             elif len(word) > LONGEST:
-                long[word] = merged(word, self.ranks)
+                long[word] = packed(merged(word, self.ranks))
             else:
                 by_size.setdefault((len(word) + 3) // 4, []).append(word)
         for alike in by_size.values():
@@ -284,8 +289,8 @@ class Merges(dict):
         """The ids of the words of ``data`` between ``edges``, and the number of ids of each word."""
         first, same = distinct(data, edges)
         tokens = self.of_words(list(map(data.__getitem__, map(slice, edges[first].tolist(), edges[first + 1].tolist()))))
-        each = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(each.sum()))
+        each = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        flat = np.frombuffer(b"".join(tokens), "<u4").astype(np.int64)
         sizes = each[same]
         shift = (np.cumsum(each) - each)[same] - (np.cumsum(sizes) - sizes)
         return flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm.alignment import PerfectHash, Pieces, align_tokenizers, byte_level_tokens, most_pairs, piece_tokens
-from siftline.llm.bytebpe import WINDOW, Merges, Words, decode_documents, encode_documents, merged, read_ranks
+from siftline.llm.bytebpe import WINDOW, Merges, Words, decode_documents, encode_documents, merged, packed, read_ranks
 from siftline.llm.whitening import whiten
 
 tokenizers, tiktoken = pytest.importorskip("tokenizers"), pytest.importorskip("tiktoken")
@@ -68,7 +68,7 @@ def test_merging_by_brute_force():
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
     want = [plain(w) for w in words[:-1]]
-    assert Merges(ranks).of_words(words)[:-1] == want
+    assert Merges(ranks).of_words(words)[:-1] == [packed(w) for w in want]
     assert [merged(w, ranks) for w in words[:-1]] == want
     assert merged(words[-1], ranks) == tuple(library()._core_bpe.encode_single_piece(words[-1]))
 
