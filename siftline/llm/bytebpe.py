@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ LETTERS, NUMBERS, OTHERS, BLANKS, SPACE, TWO_LEFT, ONE_LEFT, DONE = STATES = ran
 ENDS_ONE, ENDS_TWO = "stmd", ("re", "ve", "ll")
 
 WINDOW = 1 << 18  # code points that are scanned at once
-GROUP = 1 << 20  # characters of texts that are handled together
+GROUP = 1 << 19  # bytes of texts that are handled together
 CACHED = 1 << 18  # words in the cache, of up to LONGEST bytes
 LONGEST = 64
 NONE = 1 << 40  # no rank
@@ -318,16 +319,16 @@ def distinct(data: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], same
 
 
-def groups_of(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``GROUP`` characters together, or of one longer text."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > GROUP:
+def groups_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``GROUP`` bytes together, or of one longer text."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if k > start and total + size > GROUP:
             yield start, k
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -342,7 +343,7 @@ def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_c
 
     Whole texts are encoded. A null or empty text has no tokens. Ids may be null or repeated: there is one row for each
     row. Strings of special tokens are ordinary text. An empty table gives no rows. Other columns are ignored, so their
-    names do not matter. Nothing is shuffled; a task holds about ``GROUP`` characters, or one longer text.
+    names do not matter. Nothing is shuffled; a task holds about ``GROUP`` bytes, or one longer text.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -353,14 +354,15 @@ def encode_documents(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_c
         for token, rank in known.items():
             lengths[rank] = len(token)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s, e in groups_of(texts):
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for s, e in groups_of(sizes):
+                texts = batch.column(1).slice(s, e - s).to_pylist()
                 per_text = np.zeros(e - s, np.int64)
                 ids = np.zeros(0, np.int64)
-                if some := [k for k in range(s, e) if texts[k]]:
+                if some := [k for k, text in enumerate(texts) if text]:
                     data, edges, counts = words.split([texts[k] for k in some])
                     ids, sizes = merges.of(data, edges)
-                    per_text[np.array(some) - s] = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+                    per_text[np.array(some)] = np.add.reduceat(sizes, np.cumsum(counts) - counts)
                 begin = np.cumsum(lengths[ids]) - lengths[ids]
                 first = np.cumsum(per_text) - per_text
                 base = np.append(begin, 0)[np.minimum(first, len(begin))]
