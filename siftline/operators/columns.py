@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from siftline.functions import field_name, present, strip
 
 ROW_ID = "_row_id"
+# The document of a row; with it, ``_row_id`` is the place of the row in its document.
+DOCUMENT = "_document"
 IMPUTED = "__imputed__"
 
 # Column names with a meaning of their own; they are never profiled as content.
@@ -20,8 +22,13 @@ ARTIFACTS = RESERVED + ["imputed", IMPUTED]
 
 
 def content_columns(df: DataFrame) -> list[str]:
-    """Columns that hold data: no flags, no row number, no ``__`` names."""
-    return [c for c in df.columns if c not in RESERVED and c != ROW_ID and not c.startswith("__")]
+    """Columns that hold data: no flags, no row key, no ``__`` names."""
+    return [c for c in df.columns if c not in (*RESERVED, ROW_ID, DOCUMENT) and not c.startswith("__")]
+
+
+def row_key(df: DataFrame) -> list[str]:
+    """The columns that name a row: its document, if there are documents, and its number."""
+    return [c for c in (DOCUMENT, ROW_ID) if c in df.columns]
 
 
 def _of_type(df: DataFrame, *types: type) -> list[str]:
@@ -78,9 +85,9 @@ def fingerprint(df: DataFrame, name: str) -> Column:
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Snake-case names; unnamed columns go, and of equal names the last column stays in first place."""
-    last = {field_name(c): c for c in df.columns if c != ROW_ID and field_name(c)}
-    keep = [ROW_ID] if ROW_ID in df.columns else []
-    return df.select(*keep, *[col(old).alias(new) for new, old in last.items()])
+    key = row_key(df)
+    last = {field_name(c): c for c in df.columns if c not in key and field_name(c)}
+    return df.select(*key, *[col(old).alias(new) for new, old in last.items()])
 
 
 def enforce_schema(dfs: list[DataFrame]) -> DataFrame:
@@ -92,9 +99,9 @@ def column_order(names: list[str]) -> list[str]:
     """Content A-Z, then flags A-Z, then the imputation record."""
     flags = sorted(n for n in names if n in RESERVED)
     other = sorted(n for n in names if n.startswith("__") and n not in (IMPUTED,))
-    content = sorted(n for n in names if n not in flags and n not in other and n not in (IMPUTED, ROW_ID))
+    content = sorted(n for n in names if n not in flags and n not in other and n not in (IMPUTED, ROW_ID, DOCUMENT))
     ends = [n for n in (IMPUTED,) if n in names]
-    starts = [n for n in (ROW_ID,) if n in names]
+    starts = [n for n in (DOCUMENT, ROW_ID) if n in names]
     return starts + content + flags + other + ends
 
 

@@ -1,11 +1,14 @@
-"""Row deduplication."""
+"""Row deduplication.
+
+Rows with a document are compared within their document only, and their key is the pair of document and place.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.columns import ROW_ID, all_of, col, content_columns, fingerprint
+from siftline.operators.columns import DOCUMENT, all_of, col, content_columns, fingerprint, row_key
 
 
 def _digest(parts: list[Column]) -> Column:
@@ -13,45 +16,49 @@ def _digest(parts: list[Column]) -> Column:
     return F.unhex(F.sha2(F.to_json(F.array(*parts)), 256))
 
 
-def _first_per_key(df: DataFrame, key: Column) -> DataFrame:
-    """The earliest row per key.
+def _winners(df: DataFrame, key: Column, order: Column | None = None) -> DataFrame:
+    """The row of each key that comes first by ``order``, then by row key, under the key of the earliest row.
 
     The row is an aggregate, so a key that holds a third of all rows leaves one row per map task.
     """
-    rest = [c for c in df.columns if c != ROW_ID]
-    first = df.groupBy(key.alias("__key")).agg(
-        F.min_by(F.struct(*[col(c) for c in rest]), ROW_ID).alias("__row"), F.min(ROW_ID).alias(ROW_ID)
+    names = row_key(df)
+    place = F.struct(*[col(c) for c in names])
+    best = df.groupBy(key.alias("__key")).agg(
+        F.min_by(F.struct(*[col(c) for c in df.columns if c not in names]), place if order is None else F.struct(order, place)).alias("__row"),
+        F.min(place).alias("__place"),
     )
-    return first.select(*[col(c) if c == ROW_ID else F.col("__row")[c].alias(c) for c in df.columns])
+    return best.select(*[F.col("__place" if c in names else "__row")[c].alias(c) for c in df.columns])
 
 
-def _apart(within: Column | None) -> list[Column]:
-    """A further part of a key, if rows are compared within groups only."""
-    return [] if within is None else [F.coalesce(within.cast("string"), F.lit("")).alias("__within")]
+def _document(df: DataFrame) -> list[Column]:
+    """A further part of a key: the document, a null one apart from every text."""
+    if DOCUMENT not in df.columns:
+        return []
+    return [F.coalesce(F.concat(F.lit("="), col(DOCUMENT).cast("string")), F.lit("")).alias("__document")]
 
 
-def dedupe_content(df: DataFrame, within: Column | None = None) -> DataFrame:
+def dedupe_content(df: DataFrame) -> DataFrame:
     """Rows equal in content, ignoring case and outer blanks: the first wins.
 
-    Rows without any content are equal only if their flags are equal as well. Rows that differ in
-    ``within`` are never equal.
+    Rows without any content are equal only if their flags are equal as well.
     """
     content = [F.coalesce(fingerprint(df, c), F.lit("")) for c in sorted(content_columns(df))]
     flags = [
         F.coalesce(col(c).cast("string"), F.lit(""))
-        for c in sorted(set(df.columns) - set(content_columns(df)) - {ROW_ID})
+        for c in sorted(set(df.columns) - set(content_columns(df)) - set(row_key(df)))
     ]
     blank = all_of([c == "" for c in content])
-    return _first_per_key(df, _digest(content + [F.when(blank, f).otherwise(F.lit("")) for f in flags] + _apart(within)))
+    return _winners(df, _digest(content + [F.when(blank, f).otherwise(F.lit("")) for f in flags] + _document(df)))
 
 
-def dedupe_exact(df: DataFrame, within: Column | None = None) -> DataFrame:
+def dedupe_exact(df: DataFrame) -> DataFrame:
     """Wholly equal rows: the first wins."""
-    cells = F.struct(*[col(c) for c in df.columns if c != ROW_ID], *_apart(within))
-    return _first_per_key(df, F.unhex(F.sha2(F.to_json(cells), 256)))
+    names = row_key(df)
+    cells = F.struct(*[col(c) for c in df.columns if c not in names], *_document(df))
+    return _winners(df, F.unhex(F.sha2(F.to_json(cells), 256)))
 
 
-def dedupe_by_keys(df: DataFrame, keys: list[str] | None, within: Column | None = None) -> DataFrame:
+def dedupe_by_keys(df: DataFrame, keys: list[str] | None) -> DataFrame:
     """Rows equal in the keys: the most confident wins, the earliest on ties, in the first one's place.
 
     ``None`` keeps all rows; no keys at all means exact deduplication. The winner is an aggregate, so
@@ -61,15 +68,7 @@ def dedupe_by_keys(df: DataFrame, keys: list[str] | None, within: Column | None
         return df
     keys = [k for k in keys if k in df.columns]
     if not keys:
-        return dedupe_exact(df, within)
+        return dedupe_exact(df)
     sure = F.coalesce(col("confidence").cast("double"), F.lit(0.0)) if "confidence" in df.columns else F.lit(0.0)
-    parts = [F.coalesce(fingerprint(df, k), F.lit("none")) for k in keys] + _apart(within)
-    rest = [c for c in df.columns if c != ROW_ID]
-    best = (
-        df.groupBy(_digest(parts).alias("__key"))
-        .agg(
-            F.min_by(F.struct(*[col(c) for c in rest]), F.struct(-sure, col(ROW_ID))).alias("__row"),
-            F.min(ROW_ID).alias(ROW_ID),
-        )
-    )
-    return best.select(*[col(c) if c == ROW_ID else F.col("__row")[c].alias(c) for c in df.columns])
+    parts = [F.coalesce(fingerprint(df, k), F.lit("none")) for k in keys] + _document(df)
+    return _winners(df, _digest(parts), -sure)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline import functions as X
 from siftline.operators.cells import smart_clean_cells
 from siftline.operators.columns import (
-    FLAGS, ROW_ID, any_of, col, content_columns, drop_blank_rows, filled, normalize_headers, string_columns,
+    FLAGS, any_of, col, content_columns, drop_blank_rows, filled, normalize_headers, row_key, string_columns,
 )
 from siftline.operators.profile import classify_columns
 from siftline.operators.ranks import head_rows
@@ -36,7 +36,7 @@ def valid_source_columns(columns: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, sample: int = 8, within: int = 40) -> DataFrame:
     """The first ``sample`` filled rows among the first ``within`` rows, as a local DataFrame."""
-    few = drop_blank_rows(head_rows(df, within)).orderBy(ROW_ID).limit(sample)
+    few = drop_blank_rows(head_rows(df, within)).orderBy(*row_key(df)).limit(sample)
     return df.sparkSession.createDataFrame(few.collect(), few.schema)
 
 
@@ -96,7 +96,7 @@ def _role_values(df: DataFrame, field_map: FieldMap) -> dict[str, Column]:
 def apply_field_map(df: DataFrame, field_map: FieldMap) -> DataFrame:
     """Per role the first filled cell; roles of money need a number."""
     roles = _role_values(df, field_map)
-    return df.select(ROW_ID, *[v.alias(r) for r, v in roles.items()])
+    return df.select(*row_key(df), *[v.alias(r) for r, v in roles.items()])
 
 
 def map_row_normalized(df: DataFrame, field_map: FieldMap) -> DataFrame:
@@ -110,7 +110,7 @@ def map_row_normalized(df: DataFrame, field_map: FieldMap) -> DataFrame:
         ]
         if cells:
             outs.append(F.coalesce(*cells).alias(role))
-    return by_norm.select(ROW_ID, *outs)
+    return by_norm.select(*row_key(by_norm), *outs)
 
 
 def _pattern_flags(values: list[Column], shortest: int = 0) -> tuple[Column, Column]:
@@ -138,11 +138,11 @@ def semantic_rows(df: DataFrame, field_map: FieldMap, keep_surplus: bool = False
     last = {X.field_name(c): c for c in content_columns(df) if X.field_name(c)}
     rest = [n for n in last if n not in used and n not in roles and n not in FLAGS]
     picked = df.select(
-        ROW_ID, *[v.alias("__role_" + r) for r, v in roles.items()], *[col(last[n]).alias(n) for n in rest]
+        *row_key(df), *[v.alias("__role_" + r) for r, v in roles.items()], *[col(last[n]).alias(n) for n in rest]
     )
     mail_ok, date_ok = _pattern_flags([col("__role_" + r) for r in roles])
     return (smart_clean_cells(picked) if clean else picked).select(
-        ROW_ID,
+        *row_key(df),
         *[col("__role_" + r).alias(r) for r in roles],
         mail_ok.alias("is_valid_email"),
         date_ok.alias("is_valid_date"),
@@ -160,11 +160,11 @@ def coerce_rows(df: DataFrame) -> DataFrame:
     given = col("confidence").cast("double") if "confidence" in df.columns else F.lit(0.75)
     names = [c for c in content_columns(df) if c not in LEGACY_NAMES]
     clean = smart_clean_cells(df.select(
-        ROW_ID, *[col(c) for c in names], given.alias("__given"), anomaly.alias("__anomaly")
+        *row_key(df), *[col(c) for c in names], given.alias("__given"), anomaly.alias("__anomaly")
     ))
     mail_ok, date_ok = _pattern_flags([col(c) for c in string_columns(clean)], shortest=6)
     return clean.select(
-        ROW_ID, *[col(c) for c in names],
+        *row_key(df), *[col(c) for c in names],
         mail_ok.alias("is_valid_email"),
         date_ok.alias("is_valid_date"),
         F.lit(True).alias("is_valid_numeric"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import functions as X
 from siftline.operators.cells import number_lanes
-from siftline.operators.columns import ROW_ID, col, content_columns
+from siftline.operators.columns import ROW_ID, col, content_columns, row_key
 from siftline.operators.ranks import head_rows
 
 
@@ -112,8 +112,8 @@ def cleaning_stats(before: DataFrame, after: DataFrame) -> DataFrame:
 
     def digest(df: DataFrame) -> DataFrame:
         cells = F.struct(*[col(c) for c in names])
-        return df.select(ROW_ID, F.unhex(F.sha2(F.to_json(cells), 256)).alias("digest"))
+        return df.select(*row_key(df), F.unhex(F.sha2(F.to_json(cells), 256)).alias("digest"))
 
-    pairs = digest(after).alias("a").join(digest(before).alias("b"), ROW_ID, "left")
+    pairs = digest(after).alias("a").join(digest(before).alias("b"), row_key(after), "left")
     changed = F.col("b.digest").isNotNull() & (F.col("a.digest") != F.col("b.digest"))
     return pairs.agg(F.count("*").alias("rows_processed"), F.count_if(changed).alias("rows_modified"))

@@ -6,7 +6,7 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.contact import EMAIL
@@ -79,12 +79,12 @@ def _strings(names: list[str]):
     return F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
 
 
-def final_clean(df: DataFrame, config: CleaningConfig | None = None, within: Column | None = None) -> FinalClean:
+def final_clean(df: DataFrame, config: CleaningConfig | None = None) -> FinalClean:
     """Clean a table by what its columns hold.
 
     Entity and transactional data is normalized by type, imputed where that is safe, and
-    deduplicated (among rows equal in ``within``, if given); analytical data only loses textual noise and duplicates. Two driver decisions need a
-    job each: the profile (one row per column) and, if anything may be imputed, the medians.
+    deduplicated (within its document, if rows have one); analytical data only loses textual noise and duplicates. Two
+    driver decisions need a job each: the profile (one row per column) and, if anything may be imputed, the medians.
     """
     cfg = config or CleaningConfig()
     df = df.drop(IMPUTED)
@@ -119,7 +119,7 @@ def final_clean(df: DataFrame, config: CleaningConfig | None = None, within: Col
         kept = Q.fill_placeholders(kept, texts, cfg.text_placeholder, "text_placeholder", cfg.track_imputation)
     kept = kept.drop("__changed", "__nulled", "__missing", "__medians")
     flagged = Q.refresh_flags(kept, emails, dates).withColumn("is_anomaly", F.lit(False))
-    unique = dedupe_by_keys(flagged, keys, within)
+    unique = dedupe_by_keys(flagged, keys)
 
     rows = Q.fill_safe_defaults(unique, boolean_columns(unique), kind)
     imputed = [col(IMPUTED)] if cfg.track_imputation and IMPUTED in rows.columns else []

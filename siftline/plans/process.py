@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline import functions as X
 from siftline.checkpoints import reliable
 from siftline.operators import quality as Q
-from siftline.operators.cells import clean_cells, prune_and_coerce, settle_lanes
-from siftline.operators.columns import ROW_ID, col, drop_blank_rows
+from siftline.operators.cells import clean_cells, prune_and_coerce, row_numeric_valid, settle_lanes
+from siftline.operators.columns import DOCUMENT, ROW_ID, col, content_columns, drop_blank_rows
 from siftline.operators.dedupe import dedupe_content
 from siftline.operators.extract import extract_records
-from siftline.operators.mapping import FieldMap, classify_fields, coerce_rows, field_map_of, sample_rows, semantic_rows
+from siftline.operators.mapping import FieldMap, classify_fields, coerce_rows, field_map_of, merge_field_maps, sample_rows, semantic_rows
 from siftline.operators.profile import collect_profile, confirmed_monetary, infer_critical_fields
 from siftline.operators.ranks import cap_rows
 from siftline.operators.summary import numeric_summary
 from siftline.plans.final_clean import CleaningConfig, FinalClean, final_clean
-
-
-# Bits of a row number that count the rows of one document.
-PLACES = 24
+from siftline.sources.memory import read_schema_memory, save_schema_map, signature_of
 
 
 @dataclass(frozen=True)
@@ -42,8 +40,9 @@ class Processed:
         return Q.validation_summary(self.cleaned.rows, rows)
 
 
-def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool, within: Column | None = None) -> Processed:
-    coerced = prune_and_coerce(dedupe_content(coerce_rows(rows), within))
+def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool) -> Processed:
+    coerced = prune_and_coerce(dedupe_content(coerce_rows(rows)))
+    coerced = coerced.withColumn("is_valid_numeric", row_numeric_valid(coerced))
     # What follows reads these rows several times: they are stored once instead of being rebuilt.
     coerced = reliable(coerced) if staged else coerced
     data = settle_lanes(coerced)
@@ -56,7 +55,7 @@ def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig |
     validated = marked.withColumn("confidence", sure).drop("had_norm", "anomaly_reason")
     money = [r[0] for r in confirmed_monetary(profile).collect()]
     lanes = [c for c in validated.columns if c.startswith("__")]
-    cleaned = final_clean(validated.drop(*lanes), config, within)
+    cleaned = final_clean(validated.drop(*lanes), config)
     return Processed(
         validated.drop(*lanes),
         cleaned,
@@ -72,34 +71,55 @@ def process_table(
     field_map: FieldMap | None = None,
     max_rows: int | None = None,
     staged: bool = True,
+    memory: str | None = None,
 ) -> Processed:
-    """The tabular job. ``field_map`` comes from the schema memory, else from a sample of the rows.
+    """The tabular job. ``field_map`` is given, or comes from a sample of the rows.
 
-    All rows are processed unless ``max_rows`` caps them.
+    ``memory`` is the folder of a schema memory: a map remembered for the same columns adds to the one found, and
+    a map for unknown columns is remembered. All rows are processed unless ``max_rows`` caps them.
     """
     if field_map is None:
         field_map = field_map_of(classify_fields(clean_cells(sample_rows(df))))
+        if memory is not None:
+            field_map = remembered(df, memory, field_map)
     # Blank rows go before the cells are cleaned: the test reads the raw cells only.
     raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
     rows = semantic_rows(clean_cells(raw), field_map, clean=False)
     return _shared_tail(rows, field_map, config, staged)
 
 
-def document_of(row_id: Column) -> Column:
-    """The document of a row of ``process_documents``, from its row number."""
-    return F.shiftright(row_id, PLACES)
+def remembered(df: DataFrame, folder: str, found: FieldMap) -> FieldMap:
+    """``found`` with the map that the memory holds for the columns of ``df``; new columns are remembered."""
+    spark, columns = df.sparkSession, content_columns(df)
+    signature = signature_of(columns)
+    known = read_schema_memory(spark, folder).filter(F.col("signature") == signature).first()
+    if known is None:
+        save_schema_map(spark, folder, signature, json.dumps(found))
+        return found
+    pairs = lambda fields: spark.createDataFrame(
+        [(r, c, k) for k, (r, names) in enumerate(fields.items()) for c in names], "role string, column string, position int"
+    )
+    valid = spark.createDataFrame([(c.strip(),) for c in columns], "column string")
+    merged = {(r["role"], r["column"]) for r in merge_field_maps(pairs(found), pairs(json.loads(known["mapping"])), valid).collect()}
+    out: FieldMap = {}
+    for fields in (found, json.loads(known["mapping"])):
+        for role, names in fields.items():
+            for name in names:
+                if (role, name) in merged and name not in out.get(role, []):
+                    out.setdefault(role, []).append(name)
+    return out
 
 
 def process_documents(
     docs: DataFrame, config: CleaningConfig | None = None, kind: str = "txt", most: int | None = None,
-    max_chars: int | None = None, staged: bool = True,
+    max_chars: int | None = None, staged: bool = True, id_col: str = ROW_ID,
 ) -> Processed:
     """The text job: clean the text, extract rows from it, then as for tables.
 
-    ``docs`` has ``_row_id`` and ``text``; ``_row_id`` numbers the documents. Rows are deduplicated within
-    their document only, so every document keeps at least one row; ``document_of`` gives a row's document.
+    ``docs`` has ``text`` and an id of any type. Rows carry it as ``_document``, and ``_row_id`` is their place in
+    their document. They are deduplicated within their document only, so every document keeps at least one validated
+    row. Rows of ``docs`` with one id are one document; null ids are one document, too.
     """
-    clean = docs.select(col(ROW_ID).alias("doc"), X.clean_text(F.col("text"), kind).alias("text"))
+    clean = docs.select(col(id_col).alias(DOCUMENT), X.clean_text(F.col("text"), kind).alias("text"))
     found = extract_records(clean, most=most, max_chars=max_chars)
-    rows = found.withColumn(ROW_ID, F.shiftleft("doc", PLACES) + F.col("place")).drop("doc", "place")
-    return _shared_tail(rows, {}, config, staged, document_of(F.col(ROW_ID)))
+    return _shared_tail(found.withColumnRenamed("place", ROW_ID), {}, config, staged)

@@ -10,6 +10,7 @@ from siftline.plans.process import process_documents, process_table
 from siftline.queries import inputs as I
 from siftline.queries import sql as Q
 from siftline.queries.columns import NORMALIZED
+from siftline.queries.texts import SQL as TEXT_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -298,3 +299,11 @@ QUERIES["process_table_cleaned"] = lambda s, d: process_table(_raw_orders(s, d))
 QUERIES["process_table_analytics"] = lambda s, d: process_table(_raw_orders(s, d)).analytics.drop("position")
 QUERIES["process_table_validation"] = lambda s, d: process_table(_raw_orders(s, d)).validation
 QUERIES["process_documents"] = lambda s, d: process_documents(I.messy_documents(s, d)).cleaned.rows.drop(C.IMPUTED)
+QUERIES["process_documents_rows"] = lambda s, d: process_documents(I.messy_documents(s, d)).validated.select(
+    "_document", "detected_name", "detected_amount", F.col("detected_date").cast("string").alias("detected_date"), "is_valid_numeric"
+)
+# A document keeps its different rows. Dates count as numbers that do not parse.
+SQL["process_documents_rows"] = f"""WITH found AS ({TEXT_SQL['extract_records']}),
+first AS (SELECT *, row_number() OVER (PARTITION BY _row_id, lower(detected_name), detected_amount, detected_date ORDER BY place) AS k FROM found)
+SELECT _row_id AS _document, detected_name, detected_amount, detected_date,
+ not coalesce({Q.numeric_like('detected_date')} and {Q.number('detected_date')} is null, false) AS is_valid_numeric FROM first WHERE k = 1"""

@@ -1,6 +1,7 @@
 """Behaviour of profiling and final cleaning on small tables."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 from siftline.operators import dedupe as D, profile as P, quality as Q, ranks as R
 from siftline.operators.cells import prune_and_coerce, settle_lanes, smart_clean_cells
 from siftline.plans.final_clean import CleaningConfig, final_clean
-from siftline.plans.process import document_of, process_documents, process_table
+from siftline.plans.process import process_documents, process_table
+from siftline.sources.memory import (
+    columns_of, compact_schema_memory, read_schema_memory, save_schema_map, schema_signature, signature_of,
+)
 from siftline.sources.sinks import safe_id, to_table, to_toml_lines, write_cleaning_outputs
 
 STAFF = "staff_id string, name string, email string, phone string, start_date string, salary bigint, team string"
@@ -188,10 +192,49 @@ def test_documents_keep_their_own_rows(spark):
     dates = " ".join(f"2024-{m:02d}-{d:02d}" for m in range(1, 4) for d in range(1, 11))
     docs = spark.createDataFrame([(0, text), (1, text), (2, "plain words"), (3, dates)], "_row_id bigint, text string")
     done = process_documents(docs)
-    found = done.validated.select(document_of(F.col("_row_id")).alias("d")).groupBy("d").count().collect()
+    found = done.validated.groupBy("_document").count().collect()
     assert dict(found) == {0: 1, 1: 1, 2: 1, 3: 30}
-    kept = done.cleaned.rows.select(document_of(F.col("_row_id")).alias("d")).distinct().collect()
-    assert {r.d for r in kept} >= {0, 1, 3}
+    assert {r["_document"] for r in done.cleaned.rows.collect()} >= {0, 1, 3}
+    assert sorted(r["_row_id"] for r in done.validated.filter("_document = 3").collect()) == list(range(30))
+
+
+def test_documents_of_any_id(spark):
+    text = "Invoice of Ana Ruiz over $1,200.00 on 2024-01-02"
+    far = spark.createDataFrame([(0, text), (1 << 40, text), (-5, text), ((1 << 62) + 1, text)], "_row_id bigint, text string")
+    assert dict(process_documents(far).validated.groupBy("_document").count().collect()) == {0: 1, 1 << 40: 1, -5: 1, (1 << 62) + 1: 1}
+    many = spark.range(0, 130, 1, 130).select(F.monotonically_increasing_id().alias("_row_id"), F.lit(text).alias("text"))
+    done = process_documents(many)
+    assert done.validated.count() == 130 and done.cleaned.rows.count() == 130
+    named = spark.createDataFrame([("a", text), ("", text), (None, text), ("=", text)], "name string, text string")
+    assert {r["_document"] for r in process_documents(named, id_col="name").validated.collect()} == {"a", "", None, "="}
+
+
+def test_numbers_that_do_not_parse_are_flagged(spark):
+    rows = [(0, "Ann", "1,250.50"), (1, "Bob", "12-34-56"), (2, "Cy", "1.2.3")]
+    done = process_table(spark.createDataFrame(rows, "_row_id bigint, name string, size string"), field_map={})
+    assert {r["_row_id"]: r["is_valid_numeric"] for r in done.validated.collect()} == {0: True, 1: False, 2: False}
+
+
+def test_schema_memory_in_the_job(staff, tmp_path):
+    text, folder = staff.select("_row_id", *[F.col(c).cast("string") for c in staff.columns[1:]]), str(tmp_path / "memory")
+    first = process_table(text, memory=folder).field_map
+    spark = staff.sparkSession
+    signature = signature_of(text.columns[1:])
+    assert json.loads(read_schema_memory(spark, folder).first()["mapping"]) == first
+    assert schema_signature(columns_of({"t": text.drop("_row_id")}, spark)).first()["signature"] == signature
+    save_schema_map(spark, folder, signature, json.dumps({"email": ["email"], "client": ["name", "gone", "__x"]}))
+    assert process_table(text, memory=folder).field_map == first | {"client": ["name"]}
+
+
+def test_schema_memory_loses_no_change(spark, tmp_path):
+    folder = str(tmp_path / "memory")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: save_schema_map(spark, folder, f"s{k % 6}", str(k)), range(12)))
+    before = {r["signature"]: r["mapping"] for r in read_schema_memory(spark, folder).collect()}
+    assert set(before) == {f"s{k}" for k in range(6)}
+    compact_schema_memory(spark, folder)
+    assert {r["signature"]: r["mapping"] for r in read_schema_memory(spark, folder).collect()} == before
+    assert len([p for p in (tmp_path / "memory").iterdir() if p.name.startswith("change-")]) == 1
 
 
 def test_long_cells_stay_whole(spark):
