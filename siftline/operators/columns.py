@@ -13,6 +13,8 @@ from siftline.functions import field_name, present, strip
 ROW_ID = "_row_id"
 # The document of a row; with it, ``_row_id`` is the place of the row in its document.
 DOCUMENT = "_document"
+# Cells beyond the header of their file.
+OVERFLOW = "_overflow"
 IMPUTED = "__imputed__"
 
 # Column names with a meaning of their own; they are never profiled as content.
@@ -23,7 +25,7 @@ ARTIFACTS = RESERVED + ["imputed", IMPUTED]
 
 def content_columns(df: DataFrame) -> list[str]:
     """Columns that hold data: no flags, no row key, no ``__`` names."""
-    return [c for c in df.columns if c not in (*RESERVED, ROW_ID, DOCUMENT) and not c.startswith("__")]
+    return [c for c in df.columns if c not in (*RESERVED, ROW_ID, DOCUMENT, OVERFLOW) and not c.startswith("__")]
 
 
 def row_key(df: DataFrame) -> list[str]:

@@ -10,7 +10,7 @@ from siftline.plans.process import process_documents, process_table
 from siftline.queries import inputs as I
 from siftline.queries import sql as Q
 from siftline.queries.columns import NORMALIZED
-from siftline.queries.texts import SQL as TEXT_SQL
+from siftline.queries.texts import CLEAN_TXT, SQL as TEXT_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -303,7 +303,8 @@ QUERIES["process_documents_rows"] = lambda s, d: process_documents(I.messy_docum
     "_document", "detected_name", "detected_amount", F.col("detected_date").cast("string").alias("detected_date"), "is_valid_numeric"
 )
 # A document keeps its different rows. Dates count as numbers that do not parse.
-SQL["process_documents_rows"] = f"""WITH found AS ({TEXT_SQL['extract_records']}),
+_CLEANED = f"{I.DOCUMENTS_CTE.replace('messy', 'dirty', 1)}, messy AS (SELECT _row_id, {CLEAN_TXT} AS text FROM dirty)"
+SQL["process_documents_rows"] = f"""WITH found AS ({TEXT_SQL['extract_records'].replace(I.DOCUMENTS_CTE, _CLEANED, 1)}),
 first AS (SELECT *, row_number() OVER (PARTITION BY _row_id, lower(detected_name), detected_amount, detected_date ORDER BY place) AS k FROM found)
 SELECT _row_id AS _document, detected_name, detected_amount, detected_date,
  not coalesce({Q.numeric_like('detected_date')} and {Q.number('detected_date')} is null, false) AS is_valid_numeric FROM first WHERE k = 1"""

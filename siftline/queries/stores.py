@@ -139,6 +139,45 @@ QUERIES["read_delimited"] = _read
 SQL["read_delimited"] = f"WITH {I.ORDERS_CTE} SELECT order_id, trim(total_price) AS total_price, trim(city) AS city FROM messy"
 
 
+# Three folders of files: quoted line breaks; another header, delimiter and encoding; cells beyond the header.
+_FORMS = {
+    "a": ("order_id", "total_price", "case when _row_id % 5 = 0 then 'two' || chr(10) || '\"lines\", ' || order_id else 'note' end AS note"),
+    "b": ("'Köln' AS city", "order_id"),
+    "c": ("order_id", "status", "'x' AS `extra 1`", "'y' AS `extra 2`"),
+}
+
+
+def _folder(s, d):
+    from siftline.sources.delimited import read_delimited
+
+    path, rows = new_path(s, "forms"), I.messy_orders(s, d, "order_id", "total_price", "status")
+    pick = lambda k: rows.filter(f"_row_id % 3 = {k}").selectExpr(*_FORMS["abc"[k]])
+    pick(0).write.csv(f"{path}/a", header=True, escape='"')
+    pick(1).write.csv(f"{path}/b", header=True, escape='"', sep=";", encoding="ISO-8859-1")
+    # The header of the third kind names two of its four columns: it is written as the first line of each file.
+    lines = pick(2).selectExpr("concat_ws('\t', order_id, status, `extra 1`, `extra 2`) AS value")
+    lines.coalesce(1).mapInPandas(_with_header, "value string").write.text(f"{path}/c")
+    return read_delimited(s, f"{path}/*").select(
+        "order_id", F.trim("total_price").alias("total_price"), "note", "city", F.trim("status").alias("status"),
+        F.array_join("_overflow", "|").alias("more"),
+    )
+
+
+def _with_header(frames):
+    import pandas as pd
+
+    yield pd.DataFrame({"value": ["order_id\tstatus"]})
+    yield from frames
+
+
+QUERIES["read_delimited_folder"] = _folder
+SQL["read_delimited_folder"] = f"""WITH {I.ORDERS_CTE} SELECT order_id,
+ case when _row_id % 3 = 0 then trim(total_price) end AS total_price,
+ case when _row_id % 3 = 0 then case when _row_id % 5 = 0 then 'two' || chr(10) || '"lines", ' || order_id else 'note' end end AS note,
+ case when _row_id % 3 = 1 then 'Köln' end AS city, case when _row_id % 3 = 2 then trim(status) end AS status,
+ case when _row_id % 3 = 2 then 'x|y' end AS more FROM messy"""
+
+
 def _documents(s, d):
     from siftline.sources.documents import clean_documents
 

@@ -19,8 +19,8 @@ def _text(name: str, outs: dict) -> None:
     SQL[name] = f"WITH {I.DOCUMENTS_CTE} SELECT _row_id, " + ", ".join(f"{q} AS {o}" for o, (_, q) in outs.items()) + " FROM messy"
 
 
-_TXT = Q.universal(Q.plain_quotes("replace(text, chr(13) || chr(10), chr(10))"))
-_text("clean_text_txt", {"clean": (lambda: X.clean_text(F.col("text"), "txt"), _TXT)})
+CLEAN_TXT = Q.universal(Q.plain_quotes("replace(text, chr(13) || chr(10), chr(10))"))
+_text("clean_text_txt", {"clean": (lambda: X.clean_text(F.col("text"), "txt"), CLEAN_TXT)})
 _PDF = Q.sub("text", "([a-z])([A-Z])", r"\1 \2")
 _PDF = Q.sub(_PDF, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", r"\1\2")
 _PDF = Q.sub(_PDF, r"\n([a-z])", r" \1")
