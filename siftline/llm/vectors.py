@@ -1,9 +1,9 @@
-"""Near-duplicate vectors by whole comparison and by sorted projection passes.
+"""Near-duplicate vectors by sorted projection passes.
 
-The distinct vectors of a label are compared whole, in pairs of blocks. A large label is first searched by passes:
-each sorts its vectors lexicographically by a concatenation of random hashes and compares every vector with a
-bounded window of neighbours. Probes planted at the threshold tell what the passes find; a label in which they miss
-too many is compared whole as well. Verified pairs are united; inside each resulting component all pairs are then
+Each pass sorts the distinct vectors of every label lexicographically by a concatenation of random hashes and compares
+every vector with a bounded window of neighbours, across the borders of partitions too. Probes planted at the
+threshold tell what the passes find in a label: where they miss too many, more passes follow with a window twice as
+wide, until they do not. Verified pairs of all passes are united; inside each resulting component all pairs are then
 compared in blocks, so the window bounds the search and not the links.
 """
 
@@ -14,17 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.blocks import Arrays, _roots, by_group, components, dealt, linked_in_blocks
+from siftline.llm.blocks import Arrays, _roots, by_group, components, linked_in_blocks
 from siftline.llm.tables import stored
 
 PASSES, WINDOW, BITS = 16, 48, 60
-# Labels of more distinct vectors go by passes: at most ROUNDS times PASSES, until FOUND of about PROBES are found.
-WHOLE, ROUNDS, PROBES, FOUND = 1 << 18, 4, 2000, 0.999
-# Numbers in a block of a label that is compared whole.
-ROOM = 1 << 21
+# Passes go on in a label until FOUND of its about PROBES probes are found.
+PROBES, FOUND = 2000, 0.999
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -37,7 +36,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW, whole: int = WHOLE, room: int = ROOM,
+    threshold: float = 0.98, passes: int = PASSES, window: int = WINDOW,
 ) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -78,14 +77,9 @@ def near_vectors(
         ), "classes",
     )
 
-    # Vectors meet when label and dimension are equal. Only groups above ``whole`` are named on the driver.
+    # Vectors meet when label and dimension are equal.
     classes = classes.withColumn("group", F.concat_ws(":", "dim", "label"))
-    sizes = classes.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > whole)
-    large = {r["group"] for r in sizes.collect()}
-    passed, found = _by_passes(classes, sizes, large, threshold, passes, window) if large else (set(), [])
-    pairs = _whole(classes.filter(~F.col("group").isin(*passed)), threshold, room)
-    for more in found:
-        pairs = pairs.unionByName(more)
+    pairs = _by_passes(classes, threshold, passes, window)
     near = stored(components(pairs, "a", "b"), "near")
     members = near.select(F.col("id").alias("key"), "component").join(classes.select("key", "copies", "raw"), "key")
 
@@ -109,49 +103,18 @@ def near_vectors(
     )
 
 
-def _whole(classes: DataFrame, threshold: float, room: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that connect what is linked in each group, by comparing all its vectors."""
-    def compare(rows: Arrays) -> Arrays | None:
-        same = rows["_low"][0] == rows["_high"][0]
-        one = np.flatnonzero(rows["_block"] == rows["_low"][0])
-        two = one if same else np.flatnonzero(rows["_block"] == rows["_high"][0])
-        if not len(one) or not len(two):
-            return None
-        unit, root = _unit(rows["raw"]), np.arange(len(rows["key"]))
-        a, b = unit[one], unit[two]
-        quick_a, quick_b = a.astype("f4"), b.astype("f4")
-        # What single precision puts below this is below the threshold: its error is at most half of the margin.
-        surely = threshold - (unit.shape[1] + 8) * 2.0**-23
-        for s in range(0, len(one), 256):
-            for t in range(s if same else 0, len(two), 4096):
-                if not (quick_a[s:s + 256] @ quick_b[t:t + 4096].T >= surely).any():
-                    continue
-                i, j = np.nonzero(a[s:s + 256] @ b[t:t + 4096].T >= threshold)
-                i, j = one[s + i], two[t + j]
-                new = root[i] != root[j]
-                if new.any():
-                    moved = np.flatnonzero(root != np.arange(len(root)))
-                    root = _roots(len(root), np.concatenate([moved, i[new]]), np.concatenate([root[moved], j[new]]))
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return {"a": rows["key"][moved], "b": rows["key"][root[moved]]} if len(moved) else None
-
-    blocks = dealt(classes.select("group", "key", "dim", "raw"), "group", "key", F.col("dim"), room)
-    return by_group(blocks.drop("dim"), ["group", "_low", "_high"], compare, "a binary, b binary")
-
-
-def _by_passes(
-    classes: DataFrame, sizes: DataFrame, large: set[str], threshold: float, passes: int, window: int,
-) -> tuple[set[str], list[DataFrame]]:
-    """The groups of ``large`` that passes are enough for, and the pairs of each round of passes.
-
-    A probe is a copy of a member turned in a random direction until its cosine with it is ``threshold``. Passes are
-    enough when they find at least ``FOUND`` of a group's probes. Groups that would need more than ``ROUNDS`` rounds at
-    the rate seen so far are left at once.
+def _by_passes(classes: DataFrame, threshold: float, passes: int, window: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that connect what is linked in each group.
+
+    A group that fits into a window is compared whole by one pass. In the others a probe is a copy of a member turned in
+    a random direction until its cosine with it is ``threshold``; rounds of passes, each with new hashes and a window
+    twice as wide, go on until they have met ``FOUND`` of the group's probes. A window that is wide enough meets all.
     """
-    sample = classes.join(F.broadcast(sizes), "group").filter(
+    sizes = stored(classes.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    wide = classes.join(sizes.filter(F.col("n") > window), "group").filter(
         F.pmod(F.xxhash64(F.lit(31), "key"), F.greatest(F.floor(F.col("n") / PROBES), F.lit(1))) == 0
     )
-    sample = stored(sample.select("group", "dim", "key", "raw"), "sample")
+    sample = stored(wide.select("group", "dim", "key", "raw"), "sample")
 
     def mean(rows: Arrays) -> Arrays:
         return {"group": rows["group"][:1], "centre": np.array([_unit(rows["raw"]).mean(axis=0).tobytes()], object)}
@@ -169,19 +132,25 @@ def _by_passes(
             # A probe is told by the length of its key.
             yield frame.assign(key=[k + b"+" for k in frame["key"]], raw=made)
 
-    centres = {r["group"]: np.frombuffer(r["centre"]) for r in by_group(sample.select("group", "raw"), ["group"], mean, "group string, centre binary").collect()}
-    probes = {r["group"]: r["count"] for r in sample.groupBy("group").count().collect()}
-    slim = classes.select("group", "dim", "key", "raw").unionByName(sample.mapInPandas(planted, sample.schema))
+    centres = stored(by_group(sample.select("group", "raw"), ["group"], mean, "group string, centre binary"), "centres")
+    probes = stored(sample.groupBy("group").agg(F.count("*").alias("probes")), "probes")
+    every = classes.select("group", "dim", "key", "raw").unionByName(sample.mapInPandas(planted, sample.schema))
+    # Groups without a centre fit into a window.
+    placed = stored(every.join(centres, "group", "left"), "placed")
 
     def coded(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             planes: dict[int, np.ndarray] = {}
             for frame in batches:
                 for (dim, group), part in frame.groupby(["dim", "group"]):
+                    centre = part["centre"].iloc[0]
+                    if centre is None:
+                        yield pd.DataFrame({"pass": np.int32(0), "group": group, "code": 0, "key": part["key"], "raw": part["raw"]})
+                        continue
                     if dim not in planes:
                         planes[dim] = np.random.default_rng([17, dim, number]).standard_normal((passes * BITS, dim))
                     # From the centre of the group, so that vectors of one direction still differ in their signs.
-                    unit = _unit(part["raw"].to_numpy()) - centres.get(group, 0.0)
+                    unit = _unit(part["raw"].to_numpy()) - np.frombuffer(centre)
                     bits = (unit @ planes[dim].T > 0).reshape(len(part), passes, BITS)
                     codes = bits.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     for p in range(passes):
@@ -191,16 +160,55 @@ def _by_passes(
 
         return run
 
+    found, number, left = [], 0, placed
+    while True:
+        found.append(_one_round(left.mapInPandas(coded(number), "pass int, group string, code bigint, key binary, raw binary"), threshold, window << number))
+        hits = found[0]
+        for more in found[1:]:
+            hits = hits.unionByName(more)
+        met = hits.filter("group is not null").groupBy("group").agg(F.countDistinct("a").alias("met"))
+        poor = stored(
+            probes.join(met, "group", "left").filter(F.coalesce("met", F.lit(0)) < FOUND * F.col("probes")).select("group"), "poor"
+        )
+        if poor.isEmpty():
+            return hits.filter("group is null").select("a", "b")
+        left, number = placed.join(poor, "group", "left_semi"), number + 1
+
+
+_FOUND = "a binary, b binary, group string, pass int, part int, at bigint, raw binary"
+
+
+def _meetings(key: np.ndarray, group: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Pairs that connect what the links ``a - b`` do; and, with their group, probes that met their own vector."""
+    probe = np.array([len(k) > 16 for k in key], bool)
+    real = ~probe[a] & ~probe[b]
+    root = _roots(len(key), a[real], b[real])
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    met = [(a[k], b[k]) if probe[a[k]] else (b[k], a[k]) for k in np.flatnonzero(probe[a] ^ probe[b])]
+    met = sorted({p for p, base in met if key[p][:16] == key[base]})
+    return pd.DataFrame({
+        "a": [*key[moved], *key[met]] if met else list(key[moved]), "b": [*key[root[moved]], *([None] * len(met))],
+        "group": [*([None] * len(moved)), *(group[met] if met else [])],
+    }, dtype=object)
+
+
+def _one_round(rows: DataFrame, threshold: float, window: int) -> DataFrame:
+    """``a``, ``b``, ``group`` of the neighbours of all passes that are linked, as ``_meetings`` gives them.
+
+    Partitions hand out their first and last rows as well; these meet again at every border near them, so what is
+    found does not depend on where partitions end.
+    """
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        part, held, n = TaskContext.get().partitionId(), None, 0
         for frame in batches:
+            frame = frame.assign(at=np.arange(n, n + len(frame)))
+            n += len(frame)
+            yield _edge(frame[frame["at"] < window], part)
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
-            key, group = frame["key"].to_numpy(), frame["group"].to_numpy()
-            probe = np.array([len(k) > 16 for k in key], bool)
             one, two = [], []
-            for _, part in frame.groupby(["pass", "group"], sort=False):
-                at, unit = part.index.to_numpy(), _unit(part["raw"].to_numpy())
+            for _, some in frame.groupby(["pass", "group"], sort=False):
+                at, unit = some.index.to_numpy(), _unit(some["raw"].to_numpy())
                 for s in range(0, len(unit), 512):
                     near = unit[s:s + 512 + window]
                     i, j = np.nonzero(unit[s:s + 512] @ near.T >= threshold)
@@ -208,30 +216,52 @@ def _by_passes(
                     one.append(at[s + i[inside]])
                     two.append(at[s + j[inside]])
             if one and sum(map(len, one)):
-                a, b = np.concatenate(one), np.concatenate(two)
-                real = ~probe[a] & ~probe[b]
-                root = _roots(len(frame), a[real], b[real])
-                moved = np.flatnonzero(root != np.arange(len(frame)))
-                yield pd.DataFrame({"a": key[moved], "b": key[root[moved]], "group": None})
-                met = [(a[k], b[k]) if probe[a[k]] else (b[k], a[k]) for k in np.flatnonzero(probe[a] ^ probe[b])]
-                met = sorted({p for p, base in met if key[p][:16] == key[base]})
-                yield pd.DataFrame({"a": key[met], "b": key[met], "group": group[met]} if met else {"a": [], "b": [], "group": []}, dtype=object)
+                yield _meetings(frame["key"].to_numpy(), frame["group"].to_numpy(), np.concatenate(one), np.concatenate(two)).reindex(columns=columns).astype(object)
             held = frame.tail(window).reset_index(drop=True)
+        if held is not None:
+            yield _edge(held[held["at"] >= window], part)
+            yield pd.DataFrame({"part": [part], "at": [n]}).reindex(columns=columns).astype(object)
+
+    def _edge(frame: pd.DataFrame, part: int) -> pd.DataFrame:
+        return frame.rename(columns={"key": "a"}).assign(part=part).reindex(columns=columns).astype(object)
 
+    columns = [c.split()[0] for c in _FOUND.split(", ")]
     order = ["pass", "group", "code", "key"]
-    passed, left, rounds = set(), set(large), []
-    for number in range(ROUNDS):
-        if not left:
-            break
-        rows = slim.filter(F.col("group").isin(*left)).mapInPandas(
-            coded(number), "pass int, group string, code bigint, key binary, raw binary"
-        ).repartitionByRange(*order).sortWithinPartitions(*order)
-        rounds.append(stored(rows.mapInPandas(windows, "a binary, b binary, group string"), "pairs"))
-        hits = rounds[0]
-        for more in rounds[1:]:
-            hits = hits.unionByName(more)
-        hits = {r["group"]: r["n"] for r in hits.filter("group is not null").groupBy("group").agg(F.countDistinct("a").alias("n")).collect()}
-        missed = {g: 1 - hits.get(g, 0) / probes[g] if g in probes else 1.0 for g in left}
-        passed |= {g for g in left if missed[g] <= 1 - FOUND}
-        left = {g for g in left - passed if missed[g] ** (ROUNDS / (number + 1)) <= 1 - FOUND}
-    return passed, [r.filter("group is null").select("a", "b") for r in rounds]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = stored(dealt.mapInPandas(windows, _FOUND), "neighbours")
+    counts = {r["part"]: r["at"] for r in out.filter("part is not null and a is null").select("part", "at").collect()}
+    parts = sorted(counts)
+    first = dict(zip(parts, np.cumsum([0, *(counts[p] for p in parts)]).tolist()))
+    borders = np.array([first[p] for p in parts[1:]], np.int64)
+
+    def to_borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            place = frame["part"].map(first).to_numpy() + frame["at"].to_numpy()
+            low, high = np.searchsorted(borders, place - window, side="right"), np.searchsorted(borders, place + window, side="right")
+            each = np.repeat(np.arange(len(frame)), high - low)
+            inner = np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+            yield frame.iloc[each].assign(place=place[each], border=borders[low[each] + inner])[["border", "place", "pass", "group", "a", "raw"]]
+
+    def across(rows: Arrays) -> Arrays | None:
+        below, one, two = rows["place"] < rows["border"], [], []
+        for p, group in sorted(set(zip(rows["pass"].tolist(), rows["group"].tolist()))):
+            here = (rows["pass"] == p) & (rows["group"] == group)
+            i, j = np.flatnonzero(here & below), np.flatnonzero(here & ~below)
+            if len(i) and len(j):
+                linked = _unit(rows["raw"][i]) @ _unit(rows["raw"][j]).T >= threshold
+                x, y = np.nonzero(linked & (rows["place"][j] - rows["place"][i][:, None] <= window))
+                one.append(i[x])
+                two.append(j[y])
+        if not one or not sum(map(len, one)):
+            return None
+        made = _meetings(rows["a"], rows["group"], np.concatenate(one), np.concatenate(two))
+        return {c: made[c].to_numpy() for c in made.columns} if len(made) else None
+
+    pairs = out.filter("part is null").select("a", "b", "group")
+    if not len(borders):
+        return pairs
+    edges = out.filter("part is not null and a is not null").mapInPandas(
+        to_borders, "border bigint, place bigint, pass int, group string, a binary, raw binary"
+    )
+    crossing = by_group(edges, ["border"], across, "a binary, b binary, group string")
+    return pairs.unionByName(stored(crossing, "crossing"))
