@@ -99,7 +99,7 @@ def token_pairs(docs: DataFrame, byte_level: str, pieces: str, id_col: str, text
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tokens, model = encoder(byte_level), byte_level_tokens(byte_level), Pieces(pieces)
+        encode, tokens, model = encoder(byte_level, ordinary=True), byte_level_tokens(byte_level), Pieces(pieces)
         kind_a, kind_b = width(len(tokens)), width(len(model.tokens))
 
         def both(text: str | None) -> tuple[bytes, bytes]:

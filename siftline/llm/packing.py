@@ -35,8 +35,10 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a whole text by the tokenizer file at ``path``, without special tokens.
+def encoder(path: str, ordinary: bool = False) -> Callable[[str], list[int]]:
+    """Ids of a whole text by the tokenizer file at ``path``, to which no special tokens are added.
+
+    The string of a special token inside a text is that token, as the file has it; with ``ordinary`` it is plain text.
 
     A plain byte-level BPE whose merges are numbered in order of rank is run by ``tiktoken``, which gives the ids that
     ``tokenizers`` gives in a third of the time. Any other file is run by ``tokenizers``, and so are texts with an
@@ -46,7 +48,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = ordinary
 
     def slow(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
@@ -69,7 +71,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
             fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             short = re.compile(rf"(?:\S{{1,{RUN - 1}}}+(?!\S)|\s{{1,{RUN - 1}}}+(?!\s))*+").fullmatch
-            return lambda text: fast(text) if len(text) < RUN or short(text) else slow(text)
+            marks = [] if ordinary else [t["content"] for t in spec.get("added_tokens", [])]
+
+            def encode(text: str) -> list[int]:
+                plain_text = (len(text) < RUN or short(text)) and not any(mark in text for mark in marks)
+                return fast(text) if plain_text else slow(text)
+
+            return encode
     return slow
 
 
@@ -239,7 +247,7 @@ def pack_documents(
     """Pieces of all documents with their place: id, ``piece``, ``start``, ``length``, ``ids`` (or the CRC-32 of
     the ids), ``sequence_id`` and ``offset``.
 
-    A null or empty text is its end token alone. Ids may be null or repeated: every row is packed. Long texts are
+    A null or empty text is its end token alone. The string of a special token inside a text becomes that token. Ids may be null or repeated: every row is packed. Long texts are
     encoded whole, and only they are cut. An empty table gives no pieces. Other columns are ignored.
     """
     pieces = stored(token_pieces(docs, tokenizer, length, end, id_col, text_col), "pieces")

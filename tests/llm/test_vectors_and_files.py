@@ -205,8 +205,8 @@ def vocabulary():
 
 def test_encoder_gives_the_ids_of_the_tokenizer():
     whole = tokenizers.Tokenizer.from_file(vocabulary())
-    whole.encode_special_tokens = True
     encode = encoder(vocabulary())
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275] and len(encoder(vocabulary(), ordinary=True)("a <|endoftext|> b")) == 9
     texts = [" " * 400_000 + "x", "\n" * 60_000 + "a" * 60_000, "I'll <|endoftext|> go  there\x1c \x85\u3000 \u00fcn\u00ef\u0301 12\u00b2", ""]
     # All code points up to 0x3000 and some of the rest, beside letters, digits, marks and themselves.
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 16 == 0)]
@@ -220,10 +220,9 @@ def test_encoder_gives_the_ids_of_the_tokenizer():
 def test_packing_is_exact(spark):
     rng = np.random.default_rng(10)
     words = ["the", "it's", "né", "a  b", "tab\tx", "line\n\nbreak", " ", "日本", "don't.", "x" * 300, " y", "12 345", "\r\n", "<|endoftext|>"]
-    texts = [" ".join(rng.choice(words, rng.integers(0, 500))) for _ in range(80)] + [None, "", "  ", "word " * 9000, "end ", " lead"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 500))) for _ in range(80)] + [None, "", "  ", "word " * 9000, "end ", " lead", "a <|endoftext|> b"]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(None, "x", ""), (0, texts[0], "")], "doc_id bigint, text string, ids string")
     encode = tokenizers.Tokenizer.from_file(vocabulary())
-    encode.encode_special_tokens = True
     packed = pack_documents(docs, vocabulary(), with_ids=True)
     rows = [r for r in packed.collect()]
     by_doc = collections.defaultdict(list)
