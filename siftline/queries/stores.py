@@ -99,15 +99,40 @@ SQL["write_csv"] = f"WITH {I.ORDERS_CTE} SELECT order_id, email, cast(quantity a
 
 
 def _json_back(s, d):
-    from siftline.plans.final_clean import final_clean
-
-    raw = I.messy_customers(s, d)
-    done = final_clean(raw)
-    paths = S.write_cleaning_outputs("customers/2024", raw, done.rows, new_path(s, "json"), done.stats)
-    return s.read.json(paths["final"]).select("_row_id", "customer_name", "contact_email", "balance")
+    """The outputs of the customers, read back with the numbers of their manifest."""
+    path, raw = new_path(s, "json"), I.messy_customers(s, d)
+    S.write_cleaning_outputs("customers/2024", raw, raw.limit(0), path)
+    S.write_cleaning_outputs("customers/2024", raw, raw.filter("_row_id % 2 = 0"), path, metadata={"source": "customer"})
+    now = S.cleaning_outputs(s, "customers/2024", path)
+    manifest = s.read.json(now["manifest"]).selectExpr(
+        "document_id", "get_json_object(metadata, '$.source') AS source", "validated_rows", "final_rows"
+    ).first()
+    rows = s.read.json(now["final"]).select("_row_id", "customer_name", "contact_email", "balance")
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in manifest.asDict().items()])
 
 
 QUERIES["write_cleaning_outputs"] = _json_back
+SQL["write_cleaning_outputs"] = f"""WITH {I.CUSTOMERS_CTE} SELECT _row_id, customer_name, contact_email, balance,
+ 'customers/2024' AS document_id, 'customer' AS source, (SELECT count(*) FROM messy) AS validated_rows,
+ (SELECT count(*) FROM messy WHERE _row_id % 2 = 0) AS final_rows FROM messy WHERE _row_id % 2 = 0"""
+
+
+def _deep(s, d):
+    """Maps inside structs inside maps, and one with a key for every event."""
+    inner = F.struct(F.create_map("event_type", "user_id").alias("m"), F.col("value").alias("v"))
+    return I.table(s, d, "events").select(
+        "event_id", F.create_map(F.concat(F.lit("k"), (F.col("event_id") % 2).cast("string")), inner).alias("outer"),
+        F.create_map("event_id", "user_id").alias("by_id"),
+    )
+
+
+QUERIES["to_table_nested_maps"] = lambda s, d: S.to_table(_deep(s, d)).select(
+    "event_id", "by_id", *[F.col(f"`outer.k{k}.{x}`").alias(f"k{k}_{x.replace('.', '_')}") for k in (0, 1) for x in ("m.click", "m.view", "v")]
+)
+SQL["to_table_nested_maps"] = "SELECT event_id, '{\"' || event_id || '\":' || user_id || '}' AS by_id, " + ", ".join(
+    f"case when event_id % 2 = {k} {c} then {v} end AS k{k}_{n}" for k in (0, 1)
+    for n, c, v in (("m_click", "and event_type = 'click'", "user_id"), ("m_view", "and event_type = 'view'", "user_id"), ("v", "", "value"))
+) + " FROM events"
 
 
 def _csv_file(s, d):

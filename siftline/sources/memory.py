@@ -8,13 +8,13 @@ newest entry of a signature counts; ``compact_schema_memory`` turns many changes
 from __future__ import annotations
 
 import hashlib
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline import functions as X
+from siftline.sources.commit import delete, names, new_version
 
 
 def save_documents(docs: DataFrame, path: str) -> None:
@@ -62,35 +62,19 @@ def upsert_schema_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__place", _newest(F.col("created_at"))).filter("__place = 1").drop("__place")
 
 
+CHANGE = "change-"
 _MEMORY = "signature string, mapping string, created_at timestamp"
 
 
 def signature_of(columns: list[str]) -> str:
     """The signature of some column names, as ``schema_signature`` gives it."""
-    names = sorted({X.field_name(c) for c in columns if c.strip()})
-    return hashlib.md5("|".join(names).encode("utf-8")).hexdigest()
-
-
-def _files(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _path(spark: SparkSession, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(name)
-
-
-def _changes(spark: SparkSession, folder: str) -> list[str]:
-    files, root = _files(spark, folder), _path(spark, folder)
-    if not files.exists(root):
-        return []
-    found = (s.getPath() for s in files.listStatus(root))
-    return sorted(str(p) for p in found if p.getName().startswith("change-"))
+    found = sorted({X.field_name(c) for c in columns if c.strip()})
+    return hashlib.md5("|".join(found).encode("utf-8")).hexdigest()
 
 
 def read_schema_memory(spark: SparkSession, folder: str) -> DataFrame:
     """The newest ``(signature, mapping, created_at)`` of every signature; a missing folder is an empty memory."""
-    paths = _changes(spark, folder)
+    paths = names(spark, folder, CHANGE)
     if not paths:
         return spark.createDataFrame([], _MEMORY)
     return upsert_schema_memory(spark.createDataFrame([], _MEMORY), spark.read.schema(_MEMORY).parquet(*paths))
@@ -98,12 +82,8 @@ def read_schema_memory(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_schema_memory(new: DataFrame, folder: str) -> str:
     """Add entries to the memory as one change; its folder."""
-    spark, name = new.sparkSession, uuid.uuid4().hex
-    draft, done = f"{folder.rstrip('/')}/_draft-{name}", f"{folder.rstrip('/')}/change-{name}"
-    new.select("signature", "mapping", F.col("created_at").cast("timestamp").alias("created_at")).write.parquet(draft)
-    if not _files(spark, folder).rename(_path(spark, draft), _path(spark, done)):
-        raise OSError(f"{draft} cannot be renamed")
-    return done
+    entries = new.select("signature", "mapping", F.col("created_at").cast("timestamp").alias("created_at"))
+    return new_version(new.sparkSession, folder, CHANGE, lambda draft: entries.write.parquet(draft))
 
 
 def save_schema_map(spark: SparkSession, folder: str, signature: str, mapping: str) -> None:
@@ -114,9 +94,9 @@ def save_schema_map(spark: SparkSession, folder: str, signature: str, mapping: s
 
 def compact_schema_memory(spark: SparkSession, folder: str) -> None:
     """Replace the changes so far by one. Changes made meanwhile stay; a reader that had listed the old ones reads again."""
-    old = _changes(spark, folder)
+    old = names(spark, folder, CHANGE)
     if len(old) < 2:
         return
     write_schema_memory(upsert_schema_memory(spark.createDataFrame([], _MEMORY), spark.read.schema(_MEMORY).parquet(*old)), folder)
     for path in old:
-        _files(spark, folder).delete(_path(spark, path), True)
+        delete(spark, path)

@@ -13,7 +13,7 @@ from siftline.plans.process import process_documents, process_table
 from siftline.sources.memory import (
     columns_of, compact_schema_memory, read_schema_memory, save_schema_map, schema_signature, signature_of,
 )
-from siftline.sources.sinks import safe_id, to_table, to_toml_lines, write_cleaning_outputs
+from siftline.sources.sinks import cleaning_outputs, safe_id, to_table, to_toml_lines, write_cleaning_outputs, write_csv
 
 STAFF = "staff_id string, name string, email string, phone string, start_date string, salary bigint, team string"
 
@@ -187,6 +187,36 @@ def test_outputs(staff, tmp_path):
     assert "email" not in block and "salary = 48000" in block and json.loads(block.split("name = ")[1].split("\n")[0]) == "dia roy"
 
 
+def test_outputs_appear_whole(staff, tmp_path):
+    spark, folder = staff.sparkSession, str(tmp_path)
+    first = write_cleaning_outputs("d", staff, staff.limit(2), folder, metadata={"kind": "csv"})
+    broken = staff.withColumn("name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        write_cleaning_outputs("d", staff, broken, folder)
+    assert cleaning_outputs(spark, "d", folder) == first and spark.read.json(first["final"]).count() == 2
+    manifest = spark.read.json(first["manifest"]).first()
+    assert (manifest["validated_rows"], manifest["final_rows"], json.loads(manifest["metadata"])) == (5, 2, {"kind": "csv"})
+    for _ in range(3):
+        last = write_cleaning_outputs("d", staff, staff, folder)
+    assert len(list((tmp_path / "document_id=d").glob("output-*"))) == 2 and cleaning_outputs(spark, "d", folder) == last
+    assert cleaning_outputs(spark, "none", folder) == {}
+    csv = str(tmp_path / "t.csv")
+    write_csv(staff, csv)
+    with pytest.raises(Exception, match="lost"):
+        write_csv(broken, csv)
+    assert spark.read.csv(csv, header=True).count() == 5
+
+
+def test_maps_in_maps(spark):
+    kind = "m map<int,struct<f:map<string,map<string,int>>,x:int>>, s struct<n:map<string,string>>, big map<string,int>"
+    rows = [({1: ({"a": {"p": 1}}, 7), 2: (None, 8)}, ({"q": "z"},), {"k1": 1}), (None, None, {"k2": 2}), ({1: ({"b": {}, "a": {"r.s": 3}}, None)}, ({},), {})]
+    flat = to_table(spark.createDataFrame(rows, kind), most_keys=1)
+    assert flat.columns == ["m", "s.n.q", "big"] and flat.first()["big"] == '{"k1":1}'
+    flat = to_table(spark.createDataFrame(rows, kind))
+    assert flat.columns == ["m.1.f.a.p", "m.1.f.a.r.s", "m.1.x", "m.2.x", "s.n.q", "big.k1", "big.k2"]
+    assert [tuple(r) for r in flat.collect()] == [(1, None, 7, 8, "z", 1, None), (None,) * 6 + (2,), (None, 3) + (None,) * 5]
+
+
 def test_documents_keep_their_own_rows(spark):
     text = "Invoice of Ana Ruiz over $1,200.00 on 2024-01-02"
     dates = " ".join(f"2024-{m:02d}-{d:02d}" for m in range(1, 4) for d in range(1, 11))
