@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from siftline.checkpoints import new_path
 from siftline.queries import inputs as I
+from siftline.queries import sql as Q
 from siftline.queries.profiles import _column_list
+from siftline.queries.texts import CLEAN_TXT, WORDS
 from siftline.sources import memory as M
 from siftline.sources import sinks as S
 
@@ -211,3 +213,8 @@ def _documents(s, d):
 
 
 QUERIES["clean_documents"] = _documents
+_STRIPPED = Q.strip("case when _row_id % 50 = 0 then '  ' else text end")
+SQL["clean_documents"] = f"""WITH {I.DOCUMENTS_CTE}, raw AS (SELECT _row_id AS doc_id, {_STRIPPED} AS text FROM messy),
+cleaned AS (SELECT doc_id, text AS raw, {CLEAN_TXT} AS text FROM raw)
+SELECT doc_id, 'txt' AS file_type, nullif(text, '') AS text, {WORDS} AS word_count,
+ case when raw = '' then 'File is empty.' when text = '' then 'File has no usable content after cleaning.' end AS error FROM cleaned"""

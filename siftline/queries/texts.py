@@ -35,8 +35,11 @@ QUERIES["clean_text_csv"] = lambda s, d: I.messy_documents(s, d).select(
     "_row_id", X.clean_text(F.regexp_replace(F.col("text"), r"[\x{c0}-\x{24f}_]+", "é"), "csv").alias("clean")
 )
 SQL["clean_text_csv"] = f"WITH {I.DOCUMENTS_CTE} SELECT _row_id, {Q.universal(Q.sub(_CSV, '_+', 'é'))} AS clean FROM messy"
-_text("word_count", {"words": (lambda: X.word_count(F.col("text")), f"cast(case when {Q.strip('text')} = '' then 0 else"
-                               f" length(regexp_extract_all(text, '[^\\s\\x{{a0}}]+')) end as integer)")})
+WORDS = (
+    f"cast(case when {Q.strip('text')} = '' then 0 else"
+    f" length(regexp_extract_all(text, '[^\\s\\x{{a0}}]+')) end as integer)"
+)
+_text("word_count", {"words": (lambda: X.word_count(F.col("text")), WORDS)})
 _text("sample_lines", {"sample": (lambda: X.sample_lines(F.col("text"), 1500), f"""left(case when length({Q.strip('text')}) <= 1500
  or length(string_split({Q.strip('text')}, chr(10))) <= 50 then {Q.strip('text')} else array_to_string(list_concat(list_concat(
  string_split({Q.strip('text')}, chr(10))[1:20],
