@@ -273,3 +273,21 @@ def test_long_cells_stay_whole(spark):
     assert smart_clean_cells(df.drop("items")).first()["note"] == long
     assert to_table(df).first()["items"].count(";") == 59
     assert len({safe_id(i) for i in ("a/b", "a_b", "a\\b", "..", "a" * 300, "a" * 301)}) == 6
+
+
+def test_profile_reads_all_kinds_in_one_scan(spark, tmp_path):
+    import datetime
+
+    day = datetime.date(2024, 1, 2)
+    data = [("A@b.org", 1, 2.0, True, day), (" a@b.org", 2, float("nan"), None, day), (None, None, -0.0, False, None), ("", 1, 0.0, True, None)]
+    folder = str(tmp_path / "kinds")
+    spark.createDataFrame(data, "t string, n bigint, x double, b boolean, d date").write.parquet(folder)
+    df = spark.read.parquet(folder)
+    got = {r["column"]: r for r in P.profile_hits(df).collect()}
+    facts = {c: (r["total"], r["filled"], r["distinct"], r["email_hits"], r["date_hits"], r["bool_hits"], r["num_hits"]) for c, r in got.items()}
+    assert facts == {
+        "t": (4, 2, 1, 2, 0, 0, 0), "n": (4, 3, 2, 0, 0, 2, 3), "x": (4, 3, 2, 0, 0, 2, 3), "b": (4, 3, 2, 0, 0, 3, 0), "d": (4, 2, 1, 0, 2, 0, 0),
+    }
+    for plan in (P.profile_hits(df), P.classify_columns(df), P.infer_critical_fields(df)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Relation [") == 1, text
