@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import functions as X
-from siftline.operators.columns import ROW_ID, col, content_columns, filled, numeric_columns, string_columns
+from siftline.operators.columns import FLAGS, ROW_ID, col, content_columns, filled, numeric_columns, string_columns
 
 # Id prefixes of known types (other types use their first two letters), and their order.
 ID_PREFIXES = {"pe": "p", "or": "o", "da": "d", "am": "a", "pa": "pm"}
@@ -22,71 +22,108 @@ CHUNK = 100_000
 
 
 def extract_row_entities(df: DataFrame) -> DataFrame:
-    """Entities of every table row by value pattern: dates, amounts, and all other cells as extras."""
-    found = []
+    """Entities of every table row by value pattern: dates, amounts, and all other cells as extras.
+
+    The filled cells of a row are laid out first, so the detectors are compiled and run once per cell, however many
+    columns there are.
+    """
     texts, numbers = set(string_columns(df)), set(numeric_columns(df))
-    for c in content_columns(df):
-        text = X.strip(col(c).cast("string"))
-        number = X.parse_number(text) if c in texts else col(c).cast("double") if c in numbers else F.lit(None).cast("double")
-        email = date = phone = F.lit(False)
-        if c in texts:
-            email, phone = X.looks_like_email(text), X.looks_like_phone(text)
-            date = (F.length(text) >= 6) & X.looks_like_date(text)
-        amount = (F.abs(number) >= 100) | (number != F.floor(number))
-        kind = (
-            F.when(email | phone, F.lit("extra_fields")).when(date, F.lit("dates"))
-            .when(amount, F.lit("amounts")).otherwise(F.lit("extra_fields"))
+    cell = lambda c: F.struct(
+        F.lit(c).alias("name"), F.lit(X.field_name(c) or "value").alias("measure"),
+        X.strip(col(c).cast("string")).alias("value"), F.lit(c in texts).alias("is_text"),
+        (col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("number"),
+    )
+    laid = F.array_compact(F.array(*[F.when(filled(df, c), cell(c)) for c in content_columns(df)]))
+    cells = df.select(col(ROW_ID).alias("doc_id"), F.posexplode(laid).alias("pos", "cell")).select("doc_id", "pos", "cell.*")
+    text = F.when(F.col("is_text"), F.col("value"))
+    judged = cells.withColumns({
+        "number": F.coalesce(F.col("number"), X.parse_number(text)),
+        "email": F.coalesce(X.looks_like_email(text), F.lit(False)),
+        "phone": F.coalesce(X.looks_like_phone(text), F.lit(False)),
+        "date": F.coalesce((F.length(text) >= 6) & X.looks_like_date(text), F.lit(False)),
+    })
+    kind, number = F.col("entity_type"), F.col("number")
+    return judged.withColumn(
+        "entity_type",
+        F.when(F.col("email") | F.col("phone"), F.lit("extra_fields")).when(F.col("date"), F.lit("dates"))
+        .when((F.abs(number) >= 100) | (number != F.floor(number)), F.lit("amounts")).otherwise(F.lit("extra_fields")),
+    ).select(
+        "doc_id", "pos", "entity_type", F.when(F.col("email"), F.lower("value")).otherwise(F.col("value")).alias("value"),
+        F.when(kind == "amounts", number).alias("number"),
+        F.when(kind == "dates", F.lit(0.72)).when(kind == "amounts", F.lit(0.82)).alias("confidence"),
+        F.when(kind == "amounts", F.col("measure")).when(kind != "dates", F.col("name")).alias("label"),
+        F.lit("").alias("currency"),
+    )
+
+
+# Confidences of an item and of a row without items, by the kind of document.
+CONFIDENCES = {"entities": (0.85, 0.75), "generic": (0.8, 0.7)}
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    """Rows made from entities begin without a mark and as valid; later steps judge them."""
+    valid = {f: F.lit(f.startswith("is_valid")) for f in FLAGS if f != "confidence"}
+    return rows.withColumns(valid)
+
+
+def entity_maps(entities: DataFrame, documents: DataFrame | None = None, kind: str = "entities") -> DataFrame:
+    """Entities aligned by position: ``(doc_id, pos, values, confidence)`` and the row flags.
+
+    ``values`` maps entity types to values, so any number of types needs no list of them. ``confidence`` is the mean of
+    the items. A document without any value gives one row of confidence 0.5. ``documents`` (``doc_id``) adds those
+    without entities, one row each: 0.5 for ``kind`` "generic", 0.75 otherwise. Of several items of one type and
+    position the least value counts; a type is a key also where its value is NULL.
+    """
+    item, row = CONFIDENCES[kind]
+    sure = F.coalesce(F.col("confidence"), F.lit(item))
+    wide = (
+        entities.groupBy("doc_id", "pos", "entity_type")
+        .agg(F.min("value").alias("value"), F.sum(sure).alias("sum"), F.count("*").alias("n"))
+        .groupBy("doc_id", "pos").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "value")))).alias("values"),
+            F.coalesce(F.sum("sum") / F.sum("n"), F.lit(row)).alias("confidence"),
         )
-        sure = F.when(kind == "dates", F.lit(0.72)).when(kind == "amounts", F.lit(0.82))
-        label = F.when(kind == "amounts", F.lit(X.field_name(c) or "value")).otherwise(F.lit(c))
-        found.append(F.when(filled(df, c), F.struct(
-            kind.alias("entity_type"),
-            F.when(email, F.lower(text)).otherwise(text).alias("value"),
-            F.when(kind == "amounts", number).alias("number"),
-            sure.alias("confidence"),
-            F.when(kind != "dates", label).alias("label"),
-        )))
-    cells = df.select(
-        col(ROW_ID).alias("doc_id"), F.posexplode(F.array_compact(F.array(*found))).alias("pos", "cell")
     )
-    return cells.select("doc_id", "pos", "cell.*", F.lit("").alias("currency"))
+    known = entities.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("value") != "", F.lit(False))).alias("known"))
+    empty = known.filter(~F.col("known")).select("doc_id", F.lit(0.5).alias("confidence"))
+    rows = wide.join(empty.select("doc_id"), "doc_id", "left_anti")
+    if documents is not None:
+        bare = documents.select("doc_id").distinct().join(known, "doc_id", "left_anti")
+        empty = empty.unionByName(bare.select("doc_id", F.lit(0.5 if kind == "generic" else 0.75).alias("confidence")))
+    none = F.lit(None).cast("string")
+    blank = empty.select(
+        "doc_id", F.lit(0).cast(entities.schema["pos"].dataType).alias("pos"),
+        F.map_filter(F.create_map(F.lit(""), none), lambda k, v: F.lit(False)).alias("values"), "confidence",
+    )
+    return _flagged(rows.unionByName(blank))
 
 
 def entities_to_rows(
-    entities: DataFrame, types: list[str] | None = None, item_confidence: float = 0.85, row_confidence: float = 0.75
+    entities: DataFrame, types: list[str] | None = None, documents: DataFrame | None = None, kind: str = "entities"
 ) -> DataFrame:
-    """Entities aligned by position into wide rows, with their mean confidence.
+    """``entity_maps`` with one column per entity type.
 
-    A document without any value gives one row of confidence 0.5. The generic variant uses 0.8 and 0.7.
+    Columns must be known before a job runs: without ``types`` their names are read first, one row per type.
+    ``entity_maps`` needs no such list.
     """
     if types is None:
         types = sorted(r[0] for r in entities.select("entity_type").distinct().collect())
-    sure = F.coalesce(F.col("confidence"), F.lit(item_confidence))
-    wide = entities.groupBy("doc_id", "pos").agg(
-        *[F.min(F.when(F.col("entity_type") == t, F.col("value"))).alias(t) for t in types],
-        F.coalesce(F.avg(sure), F.lit(row_confidence)).alias("confidence"),
+    rows = entity_maps(entities.filter(F.col("entity_type").isin(types)) if types else entities, documents, kind)
+    return rows.select(
+        "doc_id", "pos", *[F.try_element_at("values", F.lit(t)).alias(t) for t in types], *FLAGS
     )
-    there = F.coalesce(*[F.nullif(col(t), F.lit("")) for t in types]).isNotNull()
-    known = entities.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("value") != "", F.lit(False))).alias("known"))
-    empty = known.filter(~F.col("known")).select("doc_id")
-    blank = empty.select(
-        "doc_id", F.lit(0).cast(entities.schema["pos"].dataType).alias("pos"),
-        *[F.lit(None).cast("string").alias(t) for t in types], F.lit(0.5).alias("confidence"),
-    )
-    rows = wide.withColumn("__there", there).join(empty.withColumn("__empty", F.lit(True)), "doc_id", "left")
-    return rows.filter(F.col("__empty").isNull()).drop("__there", "__empty").unionByName(blank)
 
 
 def first_entities_to_rows(entities: DataFrame, types: list[str]) -> DataFrame:
-    """One row per document with the first entity of each type; confidence 0.75."""
-    return entities.groupBy("doc_id").agg(
+    """One row per document with the first entity of each type; confidence 0.75, and the row flags."""
+    return _flagged(entities.groupBy("doc_id").agg(
         *[
             F.min_by(F.when(F.col("entity_type") == t, F.col("value")),
                      F.when(F.col("entity_type") == t, F.col("pos"))).alias(t)
             for t in types
         ],
         F.lit(0.75).alias("confidence"),
-    )
+    ))
 
 
 def _only(df: DataFrame, kind: str) -> Column:

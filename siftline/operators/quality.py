@@ -101,11 +101,12 @@ def detect_anomalies(
     if "is_valid_numeric" in df.columns:
         reasons.append(("invalid_numeric", ~F.coalesce(col("is_valid_numeric"), F.lit(False))))
     if email_cols:
-        reasons.append(("invalid_email", any_of([filled(df, c) & ~X.is_valid_email(col(c)) for c in email_cols])))
+        reasons.append(("invalid_email", _some_cell(df, email_cols, lambda v: ~X.is_valid_email(v))))
     elif "is_valid_email" in df.columns:
         reasons.append(("invalid_email", ~F.coalesce(col("is_valid_email"), F.lit(True))))
     if date_cols:
-        reasons.append(("invalid_date", any_of([filled(df, c) & ~_valid_date(df, c) for c in date_cols])))
+        dated = [c for c in date_cols if c in string_columns(df)]
+        reasons.append(("invalid_date", _some_cell(df, dated, lambda v: X.parse_date(v).isNull())))
     elif "is_valid_date" in df.columns:
         reasons.append(("invalid_date", ~F.coalesce(col("is_valid_date"), F.lit(True))))
     if critical:
@@ -118,7 +119,14 @@ def detect_anomalies(
     for name, condition in reversed(reasons):
         reason = F.when(condition, F.lit(name)).otherwise(reason)
     before = F.coalesce(col("is_anomaly"), F.lit(False)) if "is_anomaly" in df.columns else F.lit(False)
-    return df.withColumns({"anomaly_reason": reason, "is_anomaly": before | reason.isNotNull()})
+    # Two steps, so that the conditions are generated once.
+    return df.withColumn("anomaly_reason", reason).withColumn("is_anomaly", before | col("anomaly_reason").isNotNull())
+
+
+def _some_cell(df: DataFrame, names: list[str], bad) -> Column:
+    """Whether ``bad`` holds for a filled cell of these columns: one rule over an array, not a copy of it per column."""
+    cells = F.array(*[F.when(filled(df, c), col(c).cast("string")) for c in names])
+    return F.exists(F.array_compact(cells.cast("array<string>")), bad)
 
 
 def adaptive_confidence(df: DataFrame, critical: list[str], had_norm: Column) -> Column:

@@ -83,16 +83,34 @@ SELECT doc_id, cast(pos as integer) AS pos, kind AS entity_type, case when mail
  case when kind <> 'dates' then c end AS label FROM k"""
 
 _TYPES = ["amounts", "dates", "organizations", "person_names"]
-QUERIES["entities_to_rows"] = lambda s, d: E.entities_to_rows(_entities(s, d), _TYPES).withColumn(
-    "confidence", F.round("confidence", 6)
-)
-SQL["entities_to_rows"] = f"""WITH {BASE}, known AS (SELECT doc_id FROM entities GROUP BY 1 HAVING bool_or(value <> ''))
-SELECT doc_id, pos, {', '.join(f"max(value) FILTER (entity_type = '{t}') AS {t}" for t in _TYPES)}, round(avg(confidence), 6) AS confidence
+_FLAGS = "false AS is_anomaly, true AS is_valid_email, true AS is_valid_date, true AS is_valid_numeric"
+
+
+def _documents(s, d):
+    return I.table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+
+
+def _rows_sql(item: float, bare: float) -> str:
+    """Rows by position; customers without any entity are documents without entities."""
+    return f"""WITH {BASE}, known AS (SELECT doc_id FROM entities GROUP BY 1 HAVING bool_or(value <> ''))
+SELECT doc_id, pos, {', '.join(f"max(value) FILTER (entity_type = '{t}') AS {t}" for t in _TYPES)},
+ round(avg(coalesce(confidence, {item})), 6) AS confidence, {_FLAGS}
  FROM entities WHERE doc_id IN (SELECT doc_id FROM known) GROUP BY 1, 2
-UNION ALL SELECT DISTINCT doc_id, 0, null, null, null, null, 0.5 FROM entities WHERE doc_id NOT IN (SELECT doc_id FROM known)"""
+UNION ALL SELECT DISTINCT doc_id, 0, null, null, null, null, 0.5, false, true, true, true FROM entities WHERE doc_id NOT IN (SELECT doc_id FROM known)
+UNION ALL SELECT c_custkey, 0, null, null, null, null, {bare}, false, true, true, true FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM entities)"""
+
+
+def _rows(s, d, kind: str):
+    return E.entities_to_rows(_entities(s, d), _TYPES, _documents(s, d), kind).withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES["entities_to_rows"] = lambda s, d: _rows(s, d, "entities")
+SQL["entities_to_rows"] = _rows_sql(0.85, 0.75)
+QUERIES["generic_entities_to_rows"] = lambda s, d: _rows(s, d, "generic")
+SQL["generic_entities_to_rows"] = _rows_sql(0.8, 0.5)
 QUERIES["first_entities_to_rows"] = lambda s, d: E.first_entities_to_rows(_entities(s, d), _TYPES)
 SQL["first_entities_to_rows"] = f"""WITH {BASE} SELECT doc_id, {', '.join(f"arg_min(value, pos) FILTER (entity_type = '{t}') AS {t}" for t in _TYPES)},
- 0.75::double AS confidence FROM entities GROUP BY 1"""
+ 0.75::double AS confidence, {_FLAGS} FROM entities GROUP BY 1"""
 
 QUERIES["clean_entity_dates"] = lambda s, d: E.clean_entity_dates(_entities(s, d))
 SQL["clean_entity_dates"] = f"""WITH {BASE}, p AS (SELECT *, {Q.date('value')} AS iso FROM entities)

@@ -93,6 +93,30 @@ def test_entities_to_rows(spark):
     got = {(r["doc_id"], r["pos"]): r for r in E.entities_to_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1, 0]["b"] == "y" and abs(got[1, 0]["confidence"] - 0.675) < 1e-9 and got[1, 1]["a"] == "z"
     assert got[2, 0]["confidence"] == 0.5 and len(got) == 3
+    assert all(not r["is_anomaly"] and r["is_valid_email"] and r["is_valid_date"] and r["is_valid_numeric"] for r in got.values())
+
+
+def test_entity_maps_of_bare_documents(spark):
+    rows = [(1, "a", 0, "x", None, None, "", ""), (1, "b", 0, None, None, 0.5, "", ""), (1, "a", 0, "w", None, None, "", "")]
+    entities = spark.createDataFrame(rows, SCHEMA)
+    documents = spark.createDataFrame([(1, "clash"), (2, ""), (2, "")], "doc_id bigint, pos string")
+    for kind, item, bare in (("entities", 0.85, 0.75), ("generic", 0.8, 0.5)):
+        got = {r["doc_id"]: r for r in E.entity_maps(entities, documents, kind).collect()}
+        assert got[1]["values"] == {"a": "w", "b": None} and abs(got[1]["confidence"] - (2 * item + 0.5) / 3) < 1e-9
+        assert (got[2]["values"], got[2]["pos"], got[2]["confidence"]) == ({}, 0, bare) and len(got) == 2
+    assert E.entity_maps(entities.limit(0)).count() == 0
+    assert E.entities_to_rows(entities.limit(0), ["a"], documents).count() == 2
+
+
+def test_row_entities_of_every_kind(rows):
+    df = rows("mail string, `a.b` string, n int, x double, d date", (" A@b.org ", "$1,200", 7, 0.5, None), (None, " ", None, float("nan"), None), ("2024-01-02", "99", 100, -100.0, None))
+    got = [(r["doc_id"], r["pos"], r["entity_type"], r["value"], r["number"], r["confidence"], r["label"]) for r in E.extract_row_entities(df).filter("doc_id <> 1").collect()]
+    assert sorted(got, key=lambda r: r[:2]) == [
+        (0, 0, "extra_fields", "a@b.org", None, None, "mail"), (0, 1, "amounts", "$1,200", 1200.0, 0.82, "a.b"),
+        (0, 2, "extra_fields", "7", None, None, "n"), (0, 3, "amounts", "0.5", 0.5, 0.82, "x"),
+        (2, 0, "dates", "2024-01-02", None, 0.72, None), (2, 1, "extra_fields", "99", None, None, "a.b"),
+        (2, 2, "amounts", "100", 100.0, 0.82, "n"), (2, 3, "amounts", "-100.0", -100.0, 0.82, "x"),
+    ]
 
 
 def test_role_guards(spark, rows):
