@@ -32,18 +32,14 @@ def shape_topic(c: Column) -> Column:
     )
 
 
-def fit(tokens: np.ndarray, targets: list[np.ndarray | None], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
-    """Weights of sum 1 near ``tokens`` whose marginals are ``targets`` (one per axis, NaN: natural share).
-
-    Classic raking: each axis in turn is scaled to its marginal. Cells without tokens stay without weight, and a
-    target that no cell can carry is shared by the other levels.
-    """
+def _marginals(tokens: np.ndarray, targets: list[np.ndarray | None]) -> list[np.ndarray]:
+    """The wanted share of every level of each axis: named targets, natural shares for the rest, nothing where no token is."""
     total = tokens.sum()
-    weight = tokens / total if total else tokens.astype(float)
+    share = tokens / total if total else tokens.astype(float)
     marginals = []
     for axis, target in enumerate(targets):
-        rest = tuple(a for a in range(weight.ndim) if a != axis)
-        natural = weight.sum(axis=rest)
+        rest = tuple(a for a in range(share.ndim) if a != axis)
+        natural = share.sum(axis=rest)
         if target is None:
             marginals.append(natural)
             continue
@@ -55,40 +51,151 @@ def fit(tokens: np.ndarray, targets: list[np.ndarray | None], rounds: int = 200,
         if named > 0:
             wanted[~free] *= (1 - open_share) / named
         marginals.append(wanted / wanted.sum() if wanted.sum() else natural)
+    return marginals
+
+
+def fit(
+    tokens: np.ndarray, targets: list[np.ndarray | None], rounds: int = 1_000, close: float = 1e-9, share: float | None = None,
+) -> np.ndarray:
+    """Weights of sum 1 near ``tokens`` whose marginals are ``targets`` (one per axis, NaN: natural share).
+
+    Raking: the factors of each axis in turn are set so that its marginal is met. Cells without tokens stay without
+    weight, and a target that no cell can carry is shared by the other levels. With ``share`` no weight passes what
+    its cell can give to a sample of that share: a weight is the product of its factors or that bound, whichever
+    is less, and the factors are solved with the bounds inside, so the open cells of a level take over what a held one
+    leaves. A level that cannot give its target at all gives all it has, and the other levels share the rest. Ends when no
+    weight moves by ``close``, or after ``rounds`` (targets that contradict each other through the bounds; the last axis is
+    met then, and ``reached`` tells the shares).
+    """
+    marginals = _marginals(tokens, targets)
+    total = tokens.sum()
+    if not total:
+        return tokens.astype(float)
+    base = tokens / total
+    bound = np.full(base.shape, np.inf) if share is None else base / min(max(share, 1e-9), 1.0)
+    axes = range(base.ndim)
+    flat = [(np.moveaxis(base, k, 0).reshape(base.shape[k], -1), np.moveaxis(bound, k, 0).reshape(base.shape[k], -1)) for k in axes]
+    held = [np.where(cells > 0, most, 0.0).sum(axis=1) for cells, most in flat]
+    marginals = [np.minimum(_factor(wanted, most, 1.0) * wanted, most) for wanted, most in zip(marginals, held)]
+    factors, weight = [np.ones(n) for n in base.shape], base
     for _ in range(rounds):
-        moved = 0.0
-        for axis, wanted in enumerate(marginals):
-            rest = tuple(a for a in range(weight.ndim) if a != axis)
-            now = weight.sum(axis=rest)
-            factor = np.divide(wanted, now, out=np.zeros_like(now), where=now > 0)
-            moved = max(moved, np.abs(now - wanted).max(initial=0.0))
-            shape = [1] * weight.ndim
-            shape[axis] = -1
-            weight = weight * factor.reshape(shape)
-        if moved < close:
+        before = weight
+        for k in axes:
+            others = base
+            for j in axes:
+                if j != k:
+                    others = others * factors[j].reshape([-1 if i == j else 1 for i in axes])
+            cells = np.moveaxis(others, k, 0).reshape(base.shape[k], -1)
+            factors[k] = np.array([_factor(c, m, goal) for c, m, goal in zip(cells, flat[k][1], marginals[k])])
+        weight = np.minimum(others * factors[-1], bound)
+        if np.abs(weight - before).max(initial=0.0) < close:
             break
     return weight
 
 
+def _factor(cells: np.ndarray, bound: np.ndarray, goal: float) -> float:
+    """The ``f`` for which ``minimum(f * cells, bound)`` sums to ``goal``, or just fills all bounds."""
+    full = cells > 0
+    if goal <= 0 or not full.any():
+        return 0.0
+    cells, bound = cells[full], bound[full]
+    order = np.argsort(bound / cells)
+    cells, bound = cells[order], bound[order]
+    limit = bound / cells
+    if not np.isfinite(limit[0]):
+        return float(goal / cells.sum())
+    rest = goal - np.concatenate([[0.0], np.cumsum(bound)[:-1]])
+    f = rest / np.cumsum(cells[::-1])[::-1]
+    fits = np.flatnonzero(f <= limit)
+    return float(f[fits[0]] if len(fits) else limit[-1])
+
+
 def probabilities(tokens: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
     """Inclusion probability of each cell, so that ``share`` of all tokens is expected with the fitted weights.
 
-    A cell that would have to be taken more than once is taken whole and the rest is spread over the others.
+    Weights fitted with the same ``share`` need at most all tokens of a cell. Cells without tokens are taken.
     """
-    out = np.ones_like(weight, dtype=float)
-    open_, wanted = (tokens > 0) & (weight > 0), share * tokens.sum()
-    out[(tokens > 0) & (weight <= 0)] = 0.0
-    while open_.any():
-        rate = wanted * weight[open_] / weight[open_].sum() / tokens[open_]
-        if (rate <= 1).all():
-            out[open_] = np.maximum(rate, 0)
-            break
-        at = np.flatnonzero(open_.ravel())[rate > 1]
-        wanted = max(0.0, wanted - tokens.ravel()[at].sum())
-        open_.ravel()[at] = False
+    rate = np.divide(share * tokens.sum() * weight, tokens, out=np.ones_like(weight, dtype=float), where=tokens > 0)
+    return np.minimum(rate, 1.0)
+
+
+def reached(tokens: np.ndarray, targets: list[np.ndarray | None], share: float) -> list[list[tuple[float, float, float]]]:
+    """Per axis and level the share wanted, the share fitted, and the share expected in the sample."""
+    fitted = fit(tokens, targets, share=share)
+    taken = probabilities(tokens, fitted, share) * tokens
+    taken = taken / taken.sum() if taken.sum() else taken
+    out = []
+    for axis, wanted in enumerate(_marginals(tokens, targets)):
+        rest = tuple(a for a in range(tokens.ndim) if a != axis)
+        out.append(list(zip(wanted.tolist(), fitted.sum(axis=rest).tolist(), taken.sum(axis=rest).tolist())))
     return out
 
 
+def _internal(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, longer where the columns of ``docs`` have them."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _axes(docs: DataFrame, targets, text: Column, levels) -> tuple[dict[str, Column], dict[str, list[str]]]:
+    """The level of each row on each axis, and the levels that there are; the number of cells is checked."""
+    axes = dict(levels or {"source": F.col("source"), "lang": F.col("lang"), "topic": shape_topic(text)})
+    known = {a: [*targets.get(a, {}), OTHER] for a in axes}
+    if np.prod([len(v) for v in known.values()]) > MOST_CELLS:
+        raise ValueError("the targets name too many cells")
+
+    def pooled(axis: str) -> Column:
+        value = F.coalesce(axes[axis].cast("string"), F.lit("(null)"))
+        return F.when(value.isin(known[axis][:-1]), value).otherwise(F.lit(OTHER)) if known[axis][:-1] else F.lit(OTHER)
+
+    return {a: pooled(a) for a in axes}, known
+
+
+def _sums(counted: list, cells: list[str], known: dict[str, list[str]]) -> tuple[np.ndarray, list[tuple]]:
+    """The tokens of each cell as an array, and the place in it of each counted row."""
+    sums = np.zeros([len(v) for v in known.values()])
+    places = [{v: k for k, v in enumerate(levels)} for levels in known.values()]
+    at = [tuple(place[row[c]] for place, c in zip(places, cells)) for row in counted]
+    for place, row in zip(at, counted):
+        sums[place] = row["tokens"] or 0
+    return sums, at
+
+
+def _wanted(targets, known: dict[str, list[str]]) -> list[np.ndarray | None]:
+    return [np.array([*targets[a].values(), np.nan], dtype=float) if targets.get(a) else None for a in known]
+
+
+def mixture(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, text_col: str = "text",
+    levels: Mapping[str, Column] | None = None, tokens: Column | None = None,
+) -> DataFrame:
+    """``(axis, level, tokens, target, fitted, reached)``: what ``mix_sources`` will do with these documents.
+
+    ``target`` is the named target, adapted to the levels that there are; ``fitted`` and ``reached`` are the shares of the
+    weights and of the sample. They differ from it where the cells of a level hold too few tokens. One row per level.
+    """
+    text = F.col(text_col)
+    of, known = _axes(docs, targets, text, levels)
+    cells = [f"_cell_{a}" for a in of]
+    counted = docs.select(
+        *[c.alias(n) for n, c in zip(cells, of.values())], (word_tokens(text) if tokens is None else tokens).alias("tokens")
+    ).groupBy(*cells).agg(F.sum("tokens").alias("tokens")).collect()
+    sums, _ = _sums(counted, cells, known)
+    shares = reached(sums, _wanted(targets, known), share)
+    rows = []
+    for axis, name in enumerate(known):
+        held = sums.sum(axis=tuple(a for a in range(sums.ndim) if a != axis))
+        rows += [(name, v, int(held[k]), *map(float, shares[axis][k])) for k, v in enumerate(known[name])]
+    return docs.sparkSession.createDataFrame(
+        rows, "axis string, level string, tokens bigint, target double, fitted double, reached double"
+    )
+
+
 def mix_sources(
     docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", levels: Mapping[str, Column] | None = None, tokens: Column | None = None,
@@ -100,40 +207,28 @@ def mix_sources(
     thus bounded by the targets, whatever the data hold, and is all that reaches the driver.
 
     A row is kept when the hash of seed, id and text falls below the probability of its cell, so a result does not
-    depend on partitions and repeated rows share their fate. Null levels are a level of their own name ``(null)``;
-    null and empty texts weigh nothing. A cell without any tokens is kept. An empty table gives an empty result.
-    All columns of ``docs`` are returned.
+    depend on partitions and repeated rows share their fate. No cell can give more than all its tokens; the raking
+    holds such cells at this bound and refits the others, so weights and probabilities agree (``mixture`` tells the
+    shares reached). Null levels are a level of their own name ``(null)``; null and empty texts weigh nothing. A
+    cell without any tokens is kept. An empty table gives an empty result. All columns of ``docs`` are returned;
+    where they have the name of a result, that result's name ends with an underscore more.
     """
     text = F.col(text_col)
-    axes = dict(levels or {"source": F.col("source"), "lang": F.col("lang"), "topic": shape_topic(text)})
-    names = list(axes)
-    known = {a: [*targets.get(a, {}), OTHER] for a in names}
-    if np.prod([len(v) for v in known.values()]) > MOST_CELLS:
-        raise ValueError("the targets name too many cells")
-
-    def pooled(axis: str) -> Column:
-        value = F.coalesce(axes[axis].cast("string"), F.lit("(null)"))
-        return F.when(value.isin(known[axis][:-1]), value).otherwise(F.lit(OTHER)) if known[axis][:-1] else F.lit(OTHER)
-
-    cells = [f"_cell_{a}" for a in names]
-    based = docs.withColumns({f"_cell_{a}": pooled(a) for a in names}).withColumn(
-        "_tokens", word_tokens(text) if tokens is None else tokens
+    of, known = _axes(docs, targets, text, levels)
+    *cells, count, weigh, chance, kept = _internal(
+        docs, *(f"_cell_{a}" for a in of), "_tokens", "_weight", "_probability", "_kept"
+    )
+    based = docs.select(
+        "*", *[c.alias(n) for n, c in zip(cells, of.values())], (word_tokens(text) if tokens is None else tokens).alias(count)
     )
-    counted = based.groupBy(*cells).agg(F.sum("_tokens").alias("tokens")).collect()
-    sums = np.zeros([len(known[a]) for a in names])
-    place = [{v: k for k, v in enumerate(known[a])} for a in names]
-    for row in counted:
-        sums[tuple(place[k][row[c]] for k, c in enumerate(cells))] = row["tokens"] or 0
-    wanted = [np.array([*targets[a].values(), np.nan]) if targets.get(a) else None for a in names]
-    weight = fit(sums, wanted)
-    chance = probabilities(sums, weight, share)
-    rows = [
-        (*(row[c] for c in cells), float(weight[at]), float(chance[at]))
-        for row in counted for at in [tuple(place[k][row[c]] for k, c in enumerate(cells))]
-    ]
-    schema = ", ".join([*(f"{c} string" for c in cells), "_weight double, _probability double"])
+    counted = based.groupBy(*cells).agg(F.sum(count).alias("tokens")).collect()
+    sums, places = _sums(counted, cells, known)
+    weight = fit(sums, _wanted(targets, known), share=share)
+    rate = probabilities(sums, weight, share)
+    rows = [(*(row[c] for c in cells), float(weight[at]), float(rate[at])) for row, at in zip(counted, places)]
+    schema = ", ".join([*(f"`{c}` string" for c in cells), f"`{weigh}` double, `{chance}` double"])
     table = docs.sparkSession.createDataFrame(rows, schema)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.lit(1 << 40)) / float(1 << 40)
-    return based.join(F.broadcast(table), cells).withColumn("_kept", drawn < F.col("_probability")).select(
-        *docs.columns, *cells, "_tokens", "_weight", "_probability", "_kept"
+    return based.join(F.broadcast(table), cells).withColumn(kept, drawn < F.col(chance)).select(
+        *docs.columns, *cells, count, weigh, chance, kept
     )

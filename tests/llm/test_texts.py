@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.chat import chat_digests, chat_windows, escaped, read_back, unescaped
 from siftline.llm.linededup import dedup_lines
-from siftline.llm.mixing import fit, mix_sources, probabilities
+from siftline.llm.mixing import fit, mix_sources, mixture, probabilities, reached
 from siftline.llm.pii import PATTERNS, luhn, replace_personal_data
 from siftline.llm.quality import Rule, failed_rules, measured, quality_rules
 
@@ -215,6 +215,54 @@ def test_raking(spark):
     assert (chance <= 1).all() and (chance * tokens).sum() == pytest.approx(0.4 * tokens.sum())
 
 
+def test_raking_with_bounds_by_brute_force():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(1, 1000, (4, 3)).astype(float)
+    tokens[0] *= 0.2
+    targets, share = [np.array([0.07, 0.4, 0.3, np.nan]), np.array([0.45, 0.3, np.nan])], 0.8
+    weight = fit(tokens, targets, share=share)
+    base = tokens / tokens.sum()
+    bound = base / share
+    assert (weight <= bound * (1 + 1e-9)).all() and (weight >= bound * (1 - 1e-9)).any() and weight.sum() == pytest.approx(1)
+    shares = reached(tokens, targets, share)
+    for level in (x for axis in shares for x in axis):
+        assert level == pytest.approx([level[0]] * 3, abs=1e-6)
+    # By hand: bisect the factor of one level after the other, many times over.
+    factors = [np.ones(4), np.ones(3)]
+    wanted = [np.array([x[0] for x in axis]) for axis in shares]
+    for _ in range(400):
+        for axis in (0, 1):
+            for k in range(len(factors[axis])):
+                low, high = 0.0, 1e6
+                for _ in range(80):
+                    factors[axis][k] = (low + high) / 2
+                    whole = np.minimum(base * np.outer(*factors), bound)
+                    low, high = (factors[axis][k], high) if np.take(whole, k, axis).sum() < wanted[axis][k] else (low, factors[axis][k])
+        if np.abs(whole.sum(axis=1) - wanted[0]).max() < 1e-10:
+            break
+    assert weight == pytest.approx(whole, abs=1e-6)
+    # A level that cannot give its share gives all it has, and the others share the rest.
+    few = np.array([[10.0, 10.0], [500.0, 480.0]])
+    got = reached(few, [np.array([0.5, 0.5]), None], 0.5)
+    assert got[0][0][2] == pytest.approx(0.04) and got[0][1][2] == pytest.approx(0.96)
+    assert not fit(np.zeros((2, 2)), [None, None], share=0.5).any()
+
+
+def test_mixture_tells_what_is_reached(spark):
+    rows = [(k, "word " * 20, "en" if k % 2 else "de", "few" if k % 50 == 0 else "many", "a", 5, "b") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _tokens string, _weight int, _cell_lang string")
+    targets = {"source": {"few": 0.3, "many": 0.7}, "lang": {"en": 0.6, "de": 0.4}}
+    told = {(r.axis, r.level): r for r in mixture(docs, targets, 0.5).collect()}
+    assert told["source", "few"].target == pytest.approx(0.3) and told["source", "few"].reached == pytest.approx(0.04)
+    assert told["source", "few"].tokens == 800 and told["lang", "en"].reached == pytest.approx(0.6, abs=1e-6)
+    mixed = mix_sources(docs, targets, 0.5)
+    assert mixed.columns == [*docs.columns, "_cell_source", "_cell_lang_", "_cell_topic", "_tokens_", "_weight_", "_probability", "_kept"]
+    got = mixed.groupBy("lang").agg(F.sum(F.col("_tokens_") * F.col("_probability")).alias("t"), F.max("_tokens").alias("own")).collect()
+    assert {r.lang: (round(r.t), r.own) for r in got} == {"en": (12000, "a"), "de": (8000, "a")}
+    assert mixed.filter("source = 'few'").agg(F.min("_probability")).first()[0] == pytest.approx(1)
+    assert mixture(docs.limit(0), targets, 0.5).agg(F.sum("reached")).first()[0] == 0
+
+
 def test_mixing(spark):
     rows = [(k, "word " * (5 + k % 9), "en" if k % 3 else None, f"s{min(k % 10, 4)}", "clash") for k in range(4000)]
     rows += [(9000, None, "en", "s0", ""), (9001, "", None, None, ""), (1, rows[1][1], "en", "s1", "clash")]
