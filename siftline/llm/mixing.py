@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.tables import BLANK_CHARS, BLANKS
+from siftline.llm.tables import BLANK_CHARS, BLANKS, fresh
 
 OTHER = "(other)"
 MOST_CELLS = 200_000
@@ -131,17 +131,6 @@ def reached(tokens: np.ndarray, targets: list[np.ndarray | None], share: float)
     return out
 
 
-def _internal(docs: DataFrame, *names: str) -> list[str]:
-    """``names``, longer where the columns of ``docs`` have them."""
-    have = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        while name.lower() in have:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def _axes(docs: DataFrame, targets, text: Column, levels) -> tuple[dict[str, Column], dict[str, list[str]]]:
     """The level of each row on each axis, and the levels that there are; the number of cells is checked."""
     axes = dict(levels or {"source": F.col("source"), "lang": F.col("lang"), "topic": shape_topic(text)})
@@ -215,7 +204,7 @@ def mix_sources(
     """
     text = F.col(text_col)
     of, known = _axes(docs, targets, text, levels)
-    *cells, count, weigh, chance, kept = _internal(
+    *cells, count, weigh, chance, kept = fresh(
         docs, *(f"_cell_{a}" for a in of), "_tokens", "_weight", "_probability", "_kept"
     )
     based = docs.select(

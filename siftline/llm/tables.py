@@ -22,3 +22,14 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added where ``docs`` has a column of that name."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out

@@ -143,6 +143,18 @@ def test_line_dedup_by_brute_force(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_clashing_names(spark):
+    names = ["_text", "_th", "_parts", "_out", "_did", "_dth", "_n_lines", "_n_dropped", "_id", "_pos", "_hashes", "_keeper", "x", "h"]
+    line = "a line that three documents share"
+    rows = [(k, f"own {k}\n{line}", *(f"{n}{k}" for n in names)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(dedup_lines(docs).collect(), key=lambda r: r.doc_id)
+    assert list(got[0].asDict()) == [*docs.columns, "_n_lines_", "_n_dropped_"]
+    for k, r in enumerate(got):
+        assert [r[n] for n in names] == [f"{n}{k}" for n in names]
+        assert (r["text"], r["_n_lines_"], r["_n_dropped_"]) == ((f"own {k}", 2, 1) if k < 3 else (rows[3][1], 2, 0))
+
+
 def test_surrogates(spark):
     texts = [
         "Mail Ann.Lee@mail.example.com or ann.lee@mail.example.com, call +1 (217) 555-0134 or 217-555-0134.",
