@@ -41,7 +41,10 @@ def sample_rows(df: DataFrame, sample: int = 8, within: int = 40) -> DataFrame:
 
 
 def classify_fields(rows: DataFrame) -> DataFrame:
-    """``(role, column)`` by the types found in some sample rows."""
+    """``(role, column, position)`` by the types that the profile of all rows finds.
+
+    One scan and one shuffle of distinct values. ``sample_rows`` gives a few rows where a quick guess is enough.
+    """
     role = F.create_map(*[F.lit(w) for pair in ROLES.items() for w in pair])
     return (
         valid_source_columns(classify_columns(rows))

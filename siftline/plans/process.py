@@ -72,19 +72,23 @@ def process_table(
     max_rows: int | None = None,
     staged: bool = True,
     memory: str | None = None,
+    role_rows: int | None = None,
 ) -> Processed:
-    """The tabular job. ``field_map`` is given, or comes from a sample of the rows.
+    """The tabular job. ``field_map`` is given, or comes from the profile of all rows.
 
+    With ``role_rows`` the profile sees that many filled rows, out of five times as many first ones, instead.
     ``memory`` is the folder of a schema memory: a map remembered for the same columns adds to the one found, and
     a map for unknown columns is remembered. All rows are processed unless ``max_rows`` caps them.
     """
+    # Blank rows go before the cells are cleaned: the test reads the raw cells only.
+    raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
+    cells = clean_cells(raw)
     if field_map is None:
-        field_map = field_map_of(classify_fields(clean_cells(sample_rows(df))))
+        seen = cells if role_rows is None else clean_cells(sample_rows(df, role_rows, 5 * role_rows))
+        field_map = field_map_of(classify_fields(seen))
         if memory is not None:
             field_map = remembered(df, memory, field_map)
-    # Blank rows go before the cells are cleaned: the test reads the raw cells only.
-    raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
-    rows = semantic_rows(clean_cells(raw), field_map, clean=False)
+    rows = semantic_rows(cells, field_map, clean=False)
     return _shared_tail(rows, field_map, config, staged)
 
 

@@ -252,10 +252,8 @@ GROUP BY 1 ORDER BY n DESC, min(_row_id) LIMIT 1"""
 
 # ---- roles ---------------------------------------------------------------------------------------
 
-_HEAD = f"""WITH {I.ORDERS_CTE}, head AS (SELECT * FROM messy ORDER BY _row_id LIMIT 40),
-picked AS (SELECT * FROM head ORDER BY _row_id LIMIT 8), {_profile_ctes('picked', _MESSY_KINDS)}"""
-QUERIES["classify_fields"] = lambda s, d: M.classify_fields(M.sample_rows(I.messy_orders(s, d)))
-SQL["classify_fields"] = f"""{_HEAD} SELECT case inferred_type when 'monetary' then 'amount_monetary' else inferred_type end AS role,
+QUERIES["classify_fields"] = lambda s, d: M.classify_fields(I.messy_orders(s, d))
+SQL["classify_fields"] = f"""{MESSY} SELECT case inferred_type when 'monetary' then 'amount_monetary' else inferred_type end AS role,
  column_name AS "column", position FROM prof WHERE semantic_confidence_high and inferred_type in ('email','phone','date','monetary')"""
 
 _OVERLAY = {
@@ -266,13 +264,13 @@ _OVERLAY = {
 
 def _merge(s, d):
     profile = P.classify_columns(I.messy_orders(s, d))
-    base = M.classify_fields(M.sample_rows(I.messy_orders(s, d)))
+    base = M.classify_fields(I.messy_orders(s, d))
     overlay = profile.selectExpr(*[f"{e} AS {c}" for c, e in ((c, e.replace('"', '`')) for c, e in _OVERLAY.items())])
     return M.merge_field_maps(base, overlay, profile.select("column"))
 
 
 QUERIES["merge_field_maps"] = _merge
-SQL["merge_field_maps"] = f"""{_HEAD}, whole AS ({MESSY} SELECT column_name AS "column", position FROM prof),
+SQL["merge_field_maps"] = f"""{MESSY}, whole AS (SELECT column_name AS "column", position FROM prof),
 overlay AS (SELECT {_OVERLAY['role']} AS role, trim({_OVERLAY['column']}) AS "column" FROM whole)
 SELECT case inferred_type when 'monetary' then 'amount_monetary' else inferred_type end AS role, column_name AS "column"
  FROM prof WHERE semantic_confidence_high and inferred_type in ('email','phone','date','monetary')
@@ -298,8 +296,8 @@ WITH c AS ({_column_list(['orders', 'labels', 'events'])}), n AS (SELECT case wh
 SELECT "column" FROM n WHERE {Q.field('"column"')} <> ''
  and not regexp_matches({Q.field('"column"')}, 'is_valid_|is_anomaly|confidence|__|imputed|metadata')
 """
-QUERIES["needs_more_roles"] = lambda s, d: M.needs_more_roles(M.classify_fields(M.sample_rows(I.messy_orders(s, d))))
-SQL["needs_more_roles"] = f"""{_HEAD} SELECT count(distinct inferred_type) AS roles, count(distinct inferred_type) < 2 AS needs_more
+QUERIES["needs_more_roles"] = lambda s, d: M.needs_more_roles(M.classify_fields(I.messy_orders(s, d)))
+SQL["needs_more_roles"] = f"""{MESSY} SELECT count(distinct inferred_type) AS roles, count(distinct inferred_type) < 2 AS needs_more
  FROM prof WHERE semantic_confidence_high and inferred_type in ('email','phone','date','monetary')"""
 
 # ---- summaries -----------------------------------------------------------------------------------

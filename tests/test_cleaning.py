@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import dedupe as D, profile as P, quality as Q, ranks as R
 from siftline.operators.cells import prune_and_coerce, settle_lanes, smart_clean_cells
+from siftline.operators.mapping import classify_fields, field_map_of, sample_rows
 from siftline.plans.final_clean import CleaningConfig, final_clean
 from siftline.plans.process import process_documents, process_table
 from siftline.sources.memory import (
@@ -245,6 +246,16 @@ def test_numbers_that_do_not_parse_are_flagged(spark):
     assert {r["_row_id"]: r["is_valid_numeric"] for r in done.validated.collect()} == {0: True, 1: False, 2: False}
 
 
+def test_roles_come_from_all_rows(spark):
+    """The first filled rows say nothing of the column; most of the others hold an address."""
+    mails = [(i, f"n{i}", "later" if i < 40 else f"u{i}@example.com") for i in range(120)]
+    df = spark.createDataFrame(mails, "_row_id bigint, name string, reach string")
+    assert field_map_of(classify_fields(df)) == {"email": ["reach"]}
+    assert field_map_of(classify_fields(sample_rows(df))) == {}
+    empty = spark.createDataFrame([], df.schema)
+    assert field_map_of(classify_fields(empty)) == {}
+
+
 def test_schema_memory_in_the_job(staff, tmp_path):
     text, folder = staff.select("_row_id", *[F.col(c).cast("string") for c in staff.columns[1:]]), str(tmp_path / "memory")
     first = process_table(text, memory=folder).field_map
