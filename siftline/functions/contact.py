@@ -13,6 +13,7 @@ __all__ = [
 ]
 
 # Fixed value: the address shape that counts as valid.
+# The shape of an address.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 IN_LINE = r"[ \t\r\f\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The shape of an address.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
+# The date formats, in order of trial.
 FORMATS = (
     "['%Y-%m-%d','%d-%m-%Y','%m/%d/%Y','%d/%m/%Y','%Y/%m/%d','%d %B %Y','%B %d, %Y','%d %b %Y','%b %d, %Y']"
 )
@@ -114,7 +116,9 @@ def field(x: str) -> str:
     return sub(sub(f"lower({strip(x)})", rf"(?:{BLANKS}|[_-])+", "_"), "^_+|_+$", "")
 
 
+# Runs that count as garbage.
 GARBAGE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]|\x{fffd}|_{3,}|-{3,}|\*{3,}|={3,}|\.{4,}"
+# Boilerplate phrases, in order of removal.
 PHRASES = [
     "this page intentionally left blank", "confidential and proprietary", "all rights reserved", "printed on",
     "generated by", "powered by", "watermark", "draft copy", "do not distribute", r"page \d+ of \d+",

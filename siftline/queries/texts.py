@@ -45,6 +45,7 @@ _text("sample_lines", {"sample": (lambda: X.sample_lines(F.col("text"), 1500), f
  string_split({Q.strip('text')}, chr(10))[1:20],
  string_split({Q.strip('text')}, chr(10))[length(string_split({Q.strip('text')}, chr(10))) // 2 + 1 : length(string_split({Q.strip('text')}, chr(10))) // 2 + 10]),
  string_split({Q.strip('text')}, chr(10))[-10:]), chr(10)) end, 1500)""")})
+# The shapes of amounts and dates in running text.
 _MONEY = r"[$€£₹¥]\s*[\d,]+\.?\d*|\b\d{1,3}(?:,\d{3})+\.\d{2}\b"
 _DATES = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b"
 QUERIES["document_type"] = lambda s, d: I.messy_documents(s, d).select("_row_id", X.document_type(F.col("text")).alias("document_type"))
@@ -74,6 +75,7 @@ _AMOUNT_LIST = (
     " '(?:[$€£₹]\\s*)?(\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+\\.\\d{2}\\b|\\b\\d{4,}\\b)', 1), lambda x: replace(x, ',', '')),"
     " lambda x: not (length(x) <= 4 and x::double = floor(x::double) and x::double between 1900 and 2100)), lambda x: x::double)"
 )
+# Capitalized phrases that are not names.
 _NAME_LIST = (
     f"list_filter(regexp_extract_all({_ASCII}, '\\b([A-Z][a-z]+(?:[\\s\\x{{a0}}]+[A-Z][a-z]+)+)\\b', 1), lambda x: length(x) >= 4 and"
     " lower(x) not in ('total amount', 'invoice date', 'due date', 'payment method', 'grand total', 'sub total',"
