@@ -38,9 +38,9 @@ def extract_row_entities(df: DataFrame) -> DataFrame:
     text = F.when(F.col("is_text"), F.col("value"))
     judged = cells.withColumns({
         "number": F.coalesce(F.col("number"), X.parse_number(text)),
-        "email": F.coalesce(X.looks_like_email(text), F.lit(False)),
+        "email": F.coalesce(X.looks_like_email(text, trimmed=True), F.lit(False)),
         "phone": F.coalesce(X.looks_like_phone(text), F.lit(False)),
-        "date": F.coalesce((F.length(text) >= 6) & X.looks_like_date(text), F.lit(False)),
+        "date": F.coalesce((F.length(text) >= 6) & X.looks_like_date(text, trimmed=True), F.lit(False)),
     })
     kind, number = F.col("entity_type"), F.col("number")
     return judged.withColumn(
