@@ -34,10 +34,10 @@ def clean_cells(df: DataFrame) -> DataFrame:
 
 def _smart(s: Column) -> Column:
     """Clean trimmed text by its own pattern: address, phone, date, else as it is."""
-    iso = F.when((F.length(s) >= 6) & X.looks_like_date(s), X.parse_date(s))
+    iso = F.when((F.length(s) >= 6) & X.looks_like_date(s, trimmed=True), X.parse_date(s, trimmed=True))
     return (
-        F.when(X.looks_like_email(s), X.normalize_email(s))
-        .when(X.looks_like_phone(s), X.normalize_phone(s))
+        F.when(X.looks_like_email(s, trimmed=True), F.lower(s))
+        .when(X.looks_like_phone(s), F.regexp_replace(s, BLANK + "+", " "))
         .otherwise(F.coalesce(iso, s))
     )
 
@@ -48,7 +48,7 @@ def _typed(s: Column, kind: str) -> Column:
     if kind == "phone":
         return X.normalize_phone(s)
     if kind == "date":
-        return F.coalesce(X.parse_date(s), s)
+        return F.coalesce(X.parse_date(s, trimmed=True), s)
     if kind in ("numeric", "monetary"):
         return X.parse_number(s)
     if kind == "identifier":
@@ -153,44 +153,74 @@ def row_numeric_valid(df: DataFrame) -> Column:
 # ---- normalization by semantic type --------------------------------------------------------------
 
 
-def _by_type(df: DataFrame, name: str, row, dataset_type: str) -> tuple[Column, Column]:
-    """The normalized cell, and whether it differs from a filled original."""
+def _cleans_noise(df: DataFrame, name: str, row, dataset_type: str) -> bool:
+    """Whether the cells of a column only lose their noise, and texts change their case."""
+    if name not in string_columns(df):
+        return False
+    return dataset_type == "analytical" or row["inferred_type"] in ("identifier", "text", "categorical")
+
+
+def _noise(i: int) -> Column:
+    return col(f"__clean{i}")
+
+
+def _noise_beside(df: DataFrame, profile_rows: list, dataset_type: str) -> DataFrame:
+    """``df`` with the noise removed beside the cells that need it; this column is used many times below."""
+    return df.withColumns({
+        f"__clean{i}": X.clean_noise(col(r["column"])) for i, r in enumerate(profile_rows)
+        if _cleans_noise(df, r["column"], r, dataset_type)
+    })
+
+
+def _by_type(
+    df: DataFrame, name: str, row, dataset_type: str, clean: Column, given: Column | None = None
+) -> tuple[Column, Column]:
+    """The normalized cell, and whether it differs from a filled original.
+
+    ``clean`` is the cell without noise where ``_cleans_noise`` holds; ``given`` is the normalized cell if it is there.
+    """
+    new, differs = _normal(df, name, row, dataset_type, clean)
+    return new, differs(new if given is None else given)
+
+
+def _normal(df: DataFrame, name: str, row, dataset_type: str, clean: Column):
+    """The normalized cell, and a function of it that tells whether it differs from a filled original."""
     c, kind = col(name), row["inferred_type"]
+    never = lambda new: F.lit(False)
     is_text, is_number = name in string_columns(df), name in numeric_columns(df)
     there = filled(df, name)
     if dataset_type == "analytical":
         if not is_text:
-            return c, F.lit(False)
-        new = F.when(there, X.clean_noise(X.strip(c)))
-        return new, there & (new != c)
+            return c, never
+        return F.when(there, clean), lambda new: there & (new != c)
     if name in date_columns(df):
-        return F.date_format(c, "yyyy-MM-dd"), F.lit(False)
+        return F.date_format(c, "yyyy-MM-dd"), never
     if kind == "phone":
         digits = X.phone_digits(c.cast("string"))
         new = F.when(F.length(digits).between(10, 15), digits)
-        return new, there & (F.lit(True) if is_number else ~new.eqNullSafe(c))
+        return new, lambda new: there & (F.lit(True) if is_number else ~new.eqNullSafe(c))
     if kind == "boolean" and name not in boolean_columns(df):
         value = X.coerce_bool(c) if is_text else F.when(c.isin(0, 1), c == 1)
-        changed = there & value.isNotNull() if is_text else F.lit(False)
+        changed = lambda new: there & value.isNotNull() if is_text else F.lit(False)
         if row["bool_hits"] == row["filled"]:
             return value, changed
         # Some cells are not booleans: keep them, as text.
         word = F.initcap(value.cast("string"))
         return (F.coalesce(word, F.when(there, c)) if is_text else c), changed
     if not is_text:
-        return c, F.lit(False)
+        return c, never
     if kind in ("numeric", "monetary"):
-        return F.when(there, X.coerce_number(c)), there
+        return F.when(there, X.coerce_number(c)), lambda new: there
     if kind == "email":
         new = F.when(X.is_valid_email(c), F.lower(X.strip(c)))
     elif kind == "date":
         new = X.parse_date(c)
     else:
-        s = X.clean_noise(c)
+        s = clean
         if kind in ("text", "categorical"):
             s = F.when(s.contains("@") | s.contains("://"), s).otherwise(X.title_case(s))
         new = F.when(there, s)
-    return new, there & ~new.eqNullSafe(c)
+    return new, lambda new: there & ~new.eqNullSafe(c)
 
 
 def normalize_by_type(df: DataFrame, profile_rows: list, dataset_type: str) -> DataFrame:
@@ -198,24 +228,38 @@ def normalize_by_type(df: DataFrame, profile_rows: list, dataset_type: str) -> D
 
     Analytical data only loses textual noise. ``normalization_counts`` tells how many cells change.
     """
-    new = {r["column"]: _by_type(df, r["column"], r, dataset_type)[0] for r in profile_rows}
-    return _replaced(df, new)
+    new = {r["column"]: _by_type(df, r["column"], r, dataset_type, _noise(i))[0] for i, r in enumerate(profile_rows)}
+    beside = _noise_beside(df, profile_rows, dataset_type)
+    return beside.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
 
-def normalization_changes(df: DataFrame, profile_rows: list, dataset_type: str) -> tuple[Column, Column]:
-    """Per row: the number of changed cells, and the number of filled cells that become NULL."""
+def normalized_and_counted(df: DataFrame, profile_rows: list, dataset_type: str) -> DataFrame:
+    """``normalize_by_type`` with ``__changed`` and ``__nulled``: the changed cells of a row, and the filled cells
+    that become NULL.
+
+    The normalized cells stand beside the old ones in a projection of their own, so each is computed once for its value
+    and both counts.
+    """
+    names = [r["column"] for r in profile_rows]
+    beside = _noise_beside(df, profile_rows, dataset_type)
+    beside = beside.withColumns({
+        f"__new{i}": _by_type(df, r["column"], r, dataset_type, _noise(i))[0] for i, r in enumerate(profile_rows)
+    })
     changed, nulled = [], []
-    for r in profile_rows:
-        new, differs = _by_type(df, r["column"], r, dataset_type)
+    for i, r in enumerate(profile_rows):
+        differs = _by_type(df, r["column"], r, dataset_type, _noise(i), col(f"__new{i}"))[1]
         changed.append(F.coalesce(differs, F.lit(False)).cast("int"))
-        nulled.append((filled(df, r["column"]) & new.isNull()).cast("int"))
-    return total_of(changed), total_of(nulled)
+        nulled.append((filled(df, r["column"]) & col(f"__new{i}").isNull()).cast("int"))
+    new = {c: col(f"__new{i}") for i, c in enumerate(names)}
+    return beside.select(
+        *[new[c].alias(c) if c in new else col(c) for c in df.columns],
+        total_of(changed).alias("__changed"), total_of(nulled).alias("__nulled"),
+    )
 
 
 def normalization_counts(df: DataFrame, profile_rows: list, dataset_type: str) -> DataFrame:
     """One row: changed cells and cells that become NULL."""
-    changed, nulled = normalization_changes(df, profile_rows, dataset_type)
-    return df.agg(
-        F.coalesce(F.sum(changed), F.lit(0)).alias("changed_cells"),
-        F.coalesce(F.sum(nulled), F.lit(0)).alias("nulled_cells"),
+    return normalized_and_counted(df, profile_rows, dataset_type).agg(
+        F.coalesce(F.sum("__changed"), F.lit(0)).alias("changed_cells"),
+        F.coalesce(F.sum("__nulled"), F.lit(0)).alias("nulled_cells"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.contact import EMAIL
 from siftline.operators import quality as Q
-from siftline.operators.cells import normalization_changes, normalize_by_type
+from siftline.operators.cells import normalized_and_counted
 from siftline.operators.columns import (
     IMPUTED, ROW_ID, boolean_columns, col, content_columns, filled, order_columns, strip_artifacts, total_of,
 )
@@ -96,11 +96,7 @@ def final_clean(df: DataFrame, config: CleaningConfig | None = None) -> FinalCle
     texts = _names(profile, "text", "categorical")
 
     # Row counters travel with the rows, so all statistics come from one aggregate.
-    changed, nulled = normalization_changes(df, profile, kind)
-    counted = df.withColumns({
-        "__changed": changed, "__nulled": nulled, "__missing": Q.missing_cells(df),
-    })
-    work = normalize_by_type(counted, profile, kind)
+    work = normalized_and_counted(df.withColumn("__missing", Q.missing_cells(df)), profile, kind)
     if cfg.email_strategy == "placeholder":
         work = work.withColumn("__changed", col("__changed") + total_of([(~filled(work, c)).cast("int") for c in emails]))
         work = Q.fill_placeholders(work, emails, cfg.email_placeholder, "placeholder", cfg.track_imputation)
