@@ -43,20 +43,20 @@ def _sql() -> str:
 
 
 def _entities(s, d):
-    docs = I.messy_orders(s, d).join(
+    # Only what the entities are made of is joined.
+    docs = I.messy_orders(s, d, "order_date", "total_price", "status", "priority", "city").join(
         I.table(s, d, "orders").select(F.col("o_orderkey").alias("_row_id"), F.col("o_custkey").alias("doc_id")), "_row_id"
     )
+    # The entities of an order come from one row, so the orders are read and joined once for all types.
     parts = [
-        docs.selectExpr(
-            "doc_id", f"'{t}' AS entity_type", "_row_id AS pos", f"{c['value']} AS value", f"cast({c['number']} as double) AS number",
-            f"cast({c['confidence']} as double) AS confidence", f"{c['currency']} AS currency", f"{c['label']} AS label",
-        )
+        f"named_struct('entity_type', '{t}', 'value', {c['value']}, 'number', cast({c['number']} as double),"
+        f" 'confidence', cast({c['confidence']} as double), 'currency', {c['currency']}, 'label', {c['label']})"
         for t, c in _PARTS.items()
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("value").isNotNull())
+    out = docs.selectExpr("doc_id", "_row_id AS pos", f"inline(array({', '.join(parts)}))")
+    return out.filter(F.col("value").isNotNull()).select(
+        "doc_id", "entity_type", "pos", "value", "number", "confidence", "currency", "label"
+    )
 
 
 BASE = f"{I.ORDERS_CTE}, docs AS (SELECT m.*, o_custkey AS doc_id FROM messy m JOIN orders ON o_orderkey = _row_id), entities AS ({_sql()})"
