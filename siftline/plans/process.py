@@ -32,12 +32,15 @@ class Processed:
     analytics: DataFrame
     field_map: FieldMap
     critical: list[str]
+    staged: bool = True
 
     @property
     def validation(self) -> DataFrame:
         """Counts of valid cells in the cleaned rows; profiles them, so it is computed on request."""
-        _, rows = collect_profile(self.cleaned.rows)
-        return Q.validation_summary(self.cleaned.rows, rows)
+        # The profile and the counts read the same rows: they are stored once instead of being cleaned twice.
+        cleaned = reliable(self.cleaned.rows) if self.staged else self.cleaned.rows
+        _, rows = collect_profile(cleaned)
+        return Q.validation_summary(cleaned, rows)
 
 
 def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig | None, staged: bool) -> Processed:
@@ -62,6 +65,7 @@ def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig |
         numeric_summary(validated, money or None),
         field_map,
         critical,
+        staged,
     )
 
 
