@@ -88,6 +88,8 @@ def process_table(
     raw = drop_blank_rows(df if max_rows is None else cap_rows(df, max_rows))
     cells = clean_cells(raw)
     if field_map is None:
+        # The profile and the rows both read the cleaned cells.
+        cells = reliable(cells) if staged and role_rows is None else cells
         seen = cells if role_rows is None else clean_cells(sample_rows(df, role_rows, 5 * role_rows))
         field_map = field_map_of(classify_fields(seen))
         if memory is not None:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftline import functions as X
+from siftline.checkpoints import reliable
 from siftline.operators import mapping as M, profile as P
 from siftline.session import SETTINGS
 
@@ -37,3 +38,37 @@ def test_plain_and_noisy_cells(spark):
 def test_tasks_are_small():
     assert int(SETTINGS["spark.sql.files.maxPartitionBytes"]) <= 16 << 20
     assert int(SETTINGS["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) <= 8 << 20
+
+
+def counted(df):
+    """``df`` through a step that counts the rows it computes."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_steps_of_a_cell_rule_do_not_multiply(spark):
+    out = spark.createDataFrame([("x",)], "v string").select(X.clean_cell(F.col("v")).alias("c"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 40
+
+
+def test_cells_with_spaces_marks_and_phrases(spark):
+    cells = {
+        " (1)  b ": "(1) b", "a ___ b": "a b", "a__b": "a__b", "== = ===x": "== = x", "....": None, "...": "...", "   ": None,
+        "x\x00y": "xy", "“q” – ​z": '"q" - z', "x  All Rights  Reserved": "x All Rights Reserved",
+        "x ALL RIGHTS RESERVED.": "x .", "a\tb": "a b", None: None,
+    }
+    df = spark.createDataFrame([(v,) for v in cells], "v string").select("v", X.clean_cell(F.col("v")).alias("c"))
+    assert {r["v"]: r["c"] for r in df.collect()} == cells
+
+
+def test_stored_rows_are_computed_once(spark):
+    df, seen = counted(spark.range(100))
+    out = reliable(df.selectExpr("id", "named_struct('a', id) AS `A b`", "id % 7 AS a", "id % 5 AS A"))
+    assert sorted(tuple(r) for r in out.collect()) == [(i, (i,), i % 7, i % 5) for i in range(100)]
+    assert out.columns == ["id", "A b", "a", "A"] and seen.value == 100
