@@ -79,16 +79,19 @@ def _strings(names: list[str]):
     return F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
 
 
-def final_clean(df: DataFrame, config: CleaningConfig | None = None) -> FinalClean:
+def final_clean(
+    df: DataFrame, config: CleaningConfig | None = None, profiled: tuple[DataFrame, list] | None = None
+) -> FinalClean:
     """Clean a table by what its columns hold.
 
     Entity and transactional data is normalized by type, imputed where that is safe, and
     deduplicated (within its document, if rows have one); analytical data only loses textual noise and duplicates. Two
     driver decisions need a job each: the profile (one row per column) and, if anything may be imputed, the medians.
+    ``profiled`` is what ``collect_profile`` gives for these rows, where it is there already.
     """
     cfg = config or CleaningConfig()
     df = df.drop(IMPUTED)
-    local_profile, profile = collect_profile(df)
+    local_profile, profile = profiled or collect_profile(df)
     kind = dataset_type(local_profile).first()[0]
     critical = [r[0] for r in critical_columns(local_profile).collect()]
     keys = dedup_keys(profile) if cfg.deduplicate else None

@@ -49,19 +49,21 @@ def _shared_tail(rows: DataFrame, field_map: FieldMap, config: CleaningConfig |
     # What follows reads these rows several times: they are stored once instead of being rebuilt.
     coerced = reliable(coerced) if staged else coerced
     data = settle_lanes(coerced)
-    critical = [r[0] for r in infer_critical_fields(data.drop("had_norm")).collect()]
     content = data.drop("had_norm")
+    # One profile for the critical fields, the rules and the cleaning: the steps between change flags only.
     profile, profile_rows = collect_profile(content)
+    critical = [r[0] for r in infer_critical_fields(content, profile).collect()]
     of = lambda kind: [r["column"] for r in profile_rows if r["inferred_type"] == kind]
     marked = Q.detect_anomalies(data, critical, of("email"), of("date"))
     sure = Q.adaptive_confidence(marked, critical, col("had_norm"))
     validated = marked.withColumn("confidence", sure).drop("had_norm", "anomaly_reason")
     money = [r[0] for r in confirmed_monetary(profile).collect()]
     lanes = [c for c in validated.columns if c.startswith("__")]
-    cleaned = final_clean(validated.drop(*lanes), config)
+    shown = validated.drop(*lanes)
+    same = content_columns(shown) == content_columns(content)
     return Processed(
-        validated.drop(*lanes),
-        cleaned,
+        shown,
+        final_clean(shown, config, (profile, profile_rows) if same else None),
         numeric_summary(validated, money or None),
         field_map,
         critical,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from siftline import functions as X
 from siftline.checkpoints import reliable
 from siftline.operators import mapping as M, profile as P
+from siftline.plans import final_clean as final, process
 from siftline.session import SETTINGS
 
 
@@ -72,3 +73,16 @@ def test_stored_rows_are_computed_once(spark):
     out = reliable(df.selectExpr("id", "named_struct('a', id) AS `A b`", "id % 7 AS a", "id % 5 AS A"))
     assert sorted(tuple(r) for r in out.collect()) == [(i, (i,), i % 7, i % 5) for i in range(100)]
     assert out.columns == ["id", "A b", "a", "A"] and seen.value == 100
+
+
+def test_critical_fields_from_a_profile_that_is_there(rows):
+    df = rows("mail string, n double, x string", *[(f"a{i}@b.org", float(i % 2), None) for i in range(6)])
+    assert P.infer_critical_fields(df, P.collect_profile(df)[0]).collect() == P.infer_critical_fields(df).collect()
+
+
+def test_table_is_profiled_once_for_all_rules(rows, monkeypatch):
+    calls, profile = [], P.collect_profile
+    for plan in (process, final):
+        monkeypatch.setattr(plan, "collect_profile", lambda df: calls.append(df) or profile(df))
+    process.process_table(rows("mail string, n string", *[(f"a{i}@b.org", str(i)) for i in range(6)]))
+    assert len(calls) == 1
