@@ -6,6 +6,7 @@ from siftline import functions as X
 from siftline.checkpoints import reliable
 from siftline.operators import mapping as M, profile as P
 from siftline.plans import final_clean as final, process
+from siftline.plans.post_process import post_process
 from siftline.session import SETTINGS
 
 
@@ -86,3 +87,16 @@ def test_table_is_profiled_once_for_all_rules(rows, monkeypatch):
         monkeypatch.setattr(plan, "collect_profile", lambda df: calls.append(df) or profile(df))
     process.process_table(rows("mail string, n string", *[(f"a{i}@b.org", str(i)) for i in range(6)]))
     assert len(calls) == 1
+
+
+def _posted(spark, pick):
+    schema = "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string"
+    kinds = {"dates": "2024-01-02", "person_names": "Anna Schmidt", "organizations": "PayPal inc", "amounts": "7"}
+    df, seen = counted(spark.createDataFrame([(d, k, 1, v, 7.0, 0.5, "", "") for d in (1, 2) for k, v in kinds.items()], schema))
+    related = spark.createDataFrame([(1, 1, None, "anna schmidt", "7", None)], "doc_id bigint, rel_id bigint, type string, `from` string, `to` string, confidence double")
+    return pick(post_process(df, related)).collect(), seen.value
+
+
+def test_entities_are_read_once_for_relationships(spark):
+    found, seen = _posted(spark, lambda p: p.relationships)
+    assert [(r["from"], r["to"]) for r in found] == [("p1", "a1")] and seen == 8
