@@ -7,7 +7,7 @@ from siftline.checkpoints import reliable
 from siftline.operators import mapping as M, profile as P
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
-from siftline.session import SETTINGS
+from siftline.session import SETTINGS, spread
 
 
 def test_first_values_are_found_below_a_bound(spark):
@@ -100,3 +100,15 @@ def _posted(spark, pick):
 def test_entities_are_read_once_for_relationships(spark):
     found, seen = _posted(spark, lambda p: p.relationships)
     assert [(r["from"], r["to"]) for r in found] == [("p1", "a1")] and seen == 8
+
+
+def test_rows_of_one_group_are_spread(spark, tmp_path):
+    spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        out = spread(spark.read.parquet(str(tmp_path / "t")))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and len(sizes) >= 4 and max(sizes) <= 10000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
