@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siftline import functions as X
 from siftline.checkpoints import reliable
-from siftline.operators import mapping as M, profile as P
+from siftline.operators import mapping as M, profile as P, ranks
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
 from siftline.session import SETTINGS, spread
@@ -112,3 +112,10 @@ def test_rows_of_one_group_are_spread(spark, tmp_path):
         assert sum(sizes) == 20000 and len(sizes) >= 4 and max(sizes) <= 10000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbers_in_texts_are_read_off_once(rows, monkeypatch):
+    monkeypatch.setattr(ranks, "GATHERED", 4)
+    df, seen = counted(rows("a string", *[(f"${i}",) for i in range(101)]))
+    row = P.numeric_stats(df).first()
+    assert (row["count"], row["median"], row["stdev"] > 29) == (101, 50.0, True) and seen.value <= 3 * 101
