@@ -102,6 +102,11 @@ def test_entities_are_read_once_for_relationships(spark):
     assert [(r["from"], r["to"]) for r in found] == [("p1", "a1")] and seen == 8
 
 
+def test_entities_are_read_once_for_ids(spark):
+    found, seen = _posted(spark, lambda p: p.entities)
+    assert len(found) == 8 and seen == 8
+
+
 def test_rows_of_one_group_are_spread(spark, tmp_path):
     spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
