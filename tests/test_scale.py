@@ -107,6 +107,11 @@ def test_entities_are_read_once_for_ids(spark):
     assert len(found) == 8 and seen == 8
 
 
+def test_entities_are_read_once_for_confidences(spark):
+    found, seen = _posted(spark, lambda p: p.confidence)
+    assert {r["confidence_overall"] for r in found} == {0.5} and seen == 8
+
+
 def test_rows_of_one_group_are_spread(spark, tmp_path):
     spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
