@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import functions as X
+from siftline.functions.text import bound
 from siftline.operators.columns import FLAGS, ROW_ID, col, content_columns, filled, numeric_columns, string_columns
 
 # Id prefixes of known types (other types use their first two letters), and their order.
@@ -130,14 +131,22 @@ def _only(df: DataFrame, kind: str) -> Column:
     return F.col("entity_type") == kind
 
 
-def clean_entity_dates(entities: DataFrame) -> DataFrame:
-    """Dates become ISO; others than dates stay; unreadable dates go; a changed text is kept as ``original``."""
+def clean_entity_dates(entities: DataFrame, unread: str | None = None) -> DataFrame:
+    """Dates become ISO; others than dates stay; unreadable dates go; a changed text is kept as ``original``.
+
+    ``unread`` names a column that marks the unreadable dates, which then stay.
+    """
     date = _only(entities, "dates")
-    iso = X.parse_date(F.col("value"))
-    return entities.filter(~date | iso.isNotNull()).withColumns({
+    # A column of its own, so that a date is read once for its three uses.
+    iso = bound(X.strip(F.col("value")), lambda v: X.parse_date(v, trimmed=True))
+    read = entities.withColumn("__iso", F.when(F.coalesce(date, F.lit(True)), iso))
+    mark, iso = unread or "__unread", F.col("__iso")
+    marked = read.withColumns({
         "original": F.when(date & (F.col("value") != iso), F.col("value")),
         "value": F.when(date, iso).otherwise(F.col("value")),
-    })
+        mark: ~F.coalesce(~date | iso.isNotNull(), F.lit(False)),
+    }).drop("__iso")
+    return marked if unread else marked.filter(~F.col(mark)).drop(mark)
 
 
 def clean_entity_amounts(entities: DataFrame) -> DataFrame:
@@ -160,23 +169,34 @@ def split_payment_methods(entities: DataFrame) -> DataFrame:
 
 
 def rank_within(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """1-based rank by an integer column within a group.
+    """1-based rank by an integer column within a group; rows without a key or a position are left out.
 
-    Rows are ranked within chunks of ``chunk`` positions, and the chunk sizes give the offsets, so
-    a group that holds a third of all rows is spread over many tasks.
+    Rows of groups of more than ``chunk`` are ranked within chunks of ``chunk`` positions, and the chunk sizes give the
+    offsets, so a group that holds a third of all rows is spread over many tasks. All other groups are ranked whole.
     """
-    parted = df.withColumn("__part", F.floor(F.col(order) / chunk))
+    columns = [*keys, *[c for c in df.columns if c not in keys], name]
+    placed = df
+    for c in (*keys, order):
+        placed = placed.filter(F.col(c).isNotNull())
+    large = placed.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > chunk).select(*keys, F.lit(True).alias("__large"))
+    if large.isEmpty():
+        here = Window.partitionBy(*keys).orderBy(order)
+        return placed.withColumn(name, F.row_number().over(here).cast("long")).select(*columns)
+    # There is at most one large group for ``chunk`` rows, so they can be sent everywhere.
+    parted = placed.join(F.broadcast(large), keys, "left").withColumn(
+        "__part", F.when(F.col("__large"), F.floor(F.col(order) / chunk)).otherwise(F.lit(0))
+    )
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        parted.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+        parted.filter("__large").groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+        .withColumn("__before", F.sum("__n").over(before)).drop("__n")
     )
     here = Window.partitionBy(*keys, "__part").orderBy(order)
     return (
         parted.withColumn("__here", F.row_number().over(here))
-        .join(offsets, [*keys, "__part"])
-        .withColumn(name, F.col("__before") + F.col("__here"))
-        .drop("__part", "__here", "__before")
+        .join(offsets, [*keys, "__part"], "left")
+        .withColumn(name, F.coalesce(F.col("__before"), F.lit(0)) + F.col("__here"))
+        .select(*columns)
     )
 
 

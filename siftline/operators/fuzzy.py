@@ -6,16 +6,18 @@ rounded half to even; two texts never meet if that ratio fails. The outcome depe
 the entities, so one group of possibly similar texts is walked in order by a small function over the
 sorted rows, and Spark splits the work into such groups:
 
-* Groups with few distinct texts are walked whole.
-* Larger groups are split into connected parts. Texts that may be similar share a segment at a
-  nearby place, so an equi-join on segments finds them, and parts never influence one another.
-* Where all entities of a group are equally confident no text is ever replaced, so of exact copies
+* Groups with few rows, which most are, go through one shuffle and are walked whole.
+* Of larger groups, those with few distinct texts are walked whole as well. The others are split into connected parts.
+  Texts that may be similar share a segment at a nearby place, so an equi-join on segments finds them, and parts never
+  influence one another.
+* Where all entities of a larger group are equally confident no text is ever replaced, so of exact copies
   only the first counts; copies are dropped by an aggregate before anything is gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from siftline import functions as X
 from siftline.checkpoints import reliable
 
-# Groups with more distinct texts than this are split into connected parts.
+# Groups with more distinct texts than this are split into connected parts; those with no more rows are walked at once.
 WHOLE_GROUP = 2_000
+# Texts of a group whose kept entity is remembered.
+REMEMBERED = 100_000
 GROUP = ["doc_id", "entity_type"]
 
 
@@ -47,42 +51,85 @@ def similarity(a: str, b: str) -> int:
     return round(200 * _common(a, b) / total) if total else 100
 
 
-def _may_reach(a: int, b: int, threshold: int) -> bool:
-    """Whether texts of these lengths can reach the threshold at all."""
-    return a + b == 0 or round(200 * min(a, b) / (a + b)) >= threshold
+@lru_cache(maxsize=4096)
+def _needed(total: int, threshold: int) -> int:
+    """The least common length with which texts of this total length reach the threshold."""
+    return next(n for n in range(total + 1) if not total or round(200 * n / total) >= threshold)
 
 
-def _walk(threshold: int):
-    """A function over sorted batches that merges group after group.
+def _alike(a: str, in_a: frozenset, b: str, in_b: frozenset, threshold: int) -> bool:
+    """Whether the similarity reaches the threshold; characters that only one text holds bound it from above."""
+    if a == b:
+        return True
+    need = _needed(len(a) + len(b), threshold)
+    return (
+        len(a) >= need and len(b) >= need and len(a) - len(in_a - in_b) >= need and len(b) - len(in_b - in_a) >= need
+        and _common(a, b) >= need
+    )
+
+
+def _values(column: pa.Array) -> list:
+    """The values as Python objects; texts, and numbers none of which is missing, by way of numpy, which is faster."""
+    plain = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    if pa.types.is_string(column.type) or (plain and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _walk(threshold: int, names: list[str]):
+    """A function over sorted batches that merges group after group and returns the columns ``names``.
 
     Rows arrive ordered by group and position, so only the kept entities of the current group are
-    held, however many rows the group has.
+    held, however many rows the group has. What has become of a text is remembered until the text of a kept entity
+    changes, so copies are not compared again.
     """
 
+    def rows(batch: pa.RecordBatch, kept: list[list]) -> pa.RecordBatch:
+        """Each kept entity with the text and confidence of the row that it took them from."""
+        own, text = (pa.array([k[i] for k in kept], pa.int64()) for i in (3, 4))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(n).take(text if n in ("value", "confidence", "__text") else own) for n in batch.schema.names],
+            schema=batch.schema,
+        )
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, kept = None, []
+        current, kept, places, carried = None, [], {}, None
         for batch in batches:
-            done: list[dict] = []
-            for row in batch.to_pylist():
-                key = (row["doc_id"], row["entity_type"], row["part"])
-                if key != current:
+            # The kept entities of the group that goes on stand before the new rows.
+            start = len(kept)
+            if start:
+                batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+                for i, entity in enumerate(kept):
+                    entity[3] = entity[4] = i
+            done: list[list] = []
+            fresh = [_values(batch.column(n)[start:]) for n in (*GROUP, "part", "__text", "confidence")]
+            for i, (doc, kind, part, text, sure) in enumerate(zip(*fresh), start):
+                sure = sure or 0.0
+                if (doc, kind, part) != current:
                     done += kept
-                    current, kept = key, []
-                text = row["__text"]
-                for other in kept:
-                    near = other["__text"]
-                    if near == text or (
-                        _may_reach(len(near), len(text), threshold) and similarity(near, text) >= threshold
-                    ):
-                        if (row["confidence"] or 0.0) > (other["confidence"] or 0.0):
-                            other.update({k: row[k] for k in ("value", "confidence", "__text")})
-                        break
-                else:
-                    kept.append(row)
+                    current, kept, places = (doc, kind, part), [], {}
+                place = places.get(text)
+                if place is None:
+                    held = frozenset(text)
+                    place = next((j for j, k in enumerate(kept) if _alike(k[0], k[1], text, held, threshold)), len(kept))
+                    if len(places) >= REMEMBERED:
+                        places.clear()
+                    places[text] = place
+                    if place == len(kept):
+                        kept.append([text, held, sure, i, i])
+                        continue
+                entity = kept[place]
+                if sure > entity[2]:
+                    if entity[0] != text:
+                        entity[0], entity[1] = text, frozenset(text)
+                        places.clear()
+                        places[text] = place
+                    entity[2], entity[4] = sure, i
             if done:
-                yield pa.RecordBatch.from_pylist(done, schema=batch.schema)
+                yield rows(batch, done).select(names)
+            carried = rows(batch, kept)
         if kept:
-            yield pa.RecordBatch.from_pylist(kept, schema=batch.schema)
+            yield carried.select(names)
 
     return walk
 
@@ -163,14 +210,8 @@ def _parts(texts: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def fuzzy_dedupe(
-    entities: DataFrame, threshold: int = 85, only: list[str] | None = None, whole_group: int = WHOLE_GROUP
-) -> DataFrame:
-    """Merge similar entities per document and type; ``only`` limits it to some types."""
-    chosen = F.lit(True) if only is None else F.col("entity_type").isin(only)
-    work = entities.filter(chosen).withColumn(
-        "__text", F.lower(X.strip(F.coalesce(F.col("value"), F.lit(""))))
-    )
+def _crowded(work: DataFrame, threshold: int, whole_group: int) -> DataFrame:
+    """Rows of large groups, without copies that cannot count, by connected part."""
     names = [c for c in work.columns if c not in (*GROUP, "__text")]
     sure = F.coalesce("confidence", F.lit(0.0))
 
@@ -189,14 +230,36 @@ def fuzzy_dedupe(
 
     large = rows.filter("__large")
     if groups.filter("__large").isEmpty():
-        parted = rows.withColumn("part", F.lit(""))
+        return rows.withColumn("part", F.lit("")).drop("__large")
+    texts = large.select(*GROUP, "__text").distinct()
+    labels = _parts(texts, _edges(texts, threshold))
+    return rows.filter(~F.col("__large")).withColumn("part", F.lit("")).unionByName(
+        large.join(labels, [*GROUP, "__text"])
+    ).drop("__large")
+
+
+def fuzzy_dedupe(
+    entities: DataFrame, threshold: int = 85, only: list[str] | None = None, whole_group: int = WHOLE_GROUP
+) -> DataFrame:
+    """Merge similar entities per document and type; ``only`` limits it to some types.
+
+    Rows without a document or a type are left out of the merging and its result.
+    """
+    chosen = F.lit(True) if only is None else F.col("entity_type").isin(only)
+    work = entities.filter(chosen & F.col("doc_id").isNotNull() & F.col("entity_type").isNotNull()).withColumn(
+        "__text", F.lower(X.strip(F.coalesce(F.col("value"), F.lit(""))))
+    )
+    # Groups with rows that have no place are not walked as they are either: the aggregate knows which copy comes first.
+    crowded = work.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count("pos").alias("placed")).filter(
+        (F.col("n") > whole_group) | (F.col("placed") < F.col("n"))
+    ).select(*GROUP)
+    whole = F.lit("").alias("part")
+    if crowded.isEmpty():
+        parted = work.select("*", whole)
     else:
-        texts = large.select(*GROUP, "__text").distinct()
-        labels = _parts(texts, _edges(texts, threshold))
-        parted = rows.filter(~F.col("__large")).withColumn("part", F.lit("")).unionByName(
-            large.join(labels, [*GROUP, "__text"])
+        parted = work.join(crowded, GROUP, "left_anti").select("*", whole).unionByName(
+            _crowded(work.join(crowded, GROUP, "left_semi"), threshold, whole_group)
         )
-    shaped = parted.drop("__large")
-    ordered = shaped.repartition(*GROUP, "part").sortWithinPartitions(*GROUP, "part", "pos")
-    merged = ordered.mapInArrow(_walk(threshold), shaped.schema)
-    return merged.select(*entities.columns).unionByName(entities.filter(~chosen))
+    ordered = parted.repartition(*GROUP, "part").sortWithinPartitions(*GROUP, "part", "pos")
+    merged = ordered.mapInArrow(_walk(threshold, entities.columns), entities.schema)
+    return merged.unionByName(entities.filter(~chosen))

@@ -24,18 +24,18 @@ def post_process(entities: DataFrame, relationships: DataFrame | None = None, ty
 
     ``types`` names the entity types that are merged; by default all but dates and amounts.
     """
-    # The entities are read for the documents, for each step of merging and for the types that are not merged: they are
-    # stored once.
-    entities = reliable(entities)
-    docs = entities.select("doc_id").distinct()
-    clean = E.clean_entity_amounts(E.clean_entity_dates(entities))
+    # The cleaned entities are read for the documents, for each step of merging and for the types that are not merged: they
+    # are stored once, with the unreadable dates, whose documents count.
+    stored = reliable(E.clean_entity_amounts(E.clean_entity_dates(entities, unread="__unread")))
+    docs = stored.select("doc_id").distinct()
+    clean = stored.filter(~F.col("__unread")).drop("__unread")
     text = ~F.col("entity_type").isin("dates", "amounts")
     mergeable = clean.filter(text if types is None else F.col("entity_type").isin(types))
     others = clean.filter(~text if types is None else ~F.col("entity_type").isin(types))
     # The merged entities are read several times below; they are stored instead of being merged again.
     split = reliable(E.split_payment_methods(fuzzy_dedupe(mergeable)))
-    merged = fuzzy_dedupe(split, only=[E.PAYMENTS])
-    # Ids need the rows twice, for the ranks and for the sizes of the chunks before them.
-    numbered = E.assign_entity_ids(reliable(merged.unionByName(others)))
+    # Ids need the rows twice, for the sizes of the groups and for the ranks; the types that are not merged are stored already.
+    merged = reliable(fuzzy_dedupe(split, only=[E.PAYMENTS]))
+    numbered = E.assign_entity_ids(merged.unionByName(others))
     related = None if relationships is None else E.map_relationships(relationships, numbered)
     return PostProcessed(numbered, related, E.document_confidence(docs, numbered))

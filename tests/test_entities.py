@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftline.operators import entities as E
 from siftline.operators import mapping as M
-from siftline.operators.fuzzy import fuzzy_dedupe, similarity
+from siftline.operators.fuzzy import _walk, fuzzy_dedupe, similarity
 from siftline.plans.post_process import post_process
 
 SCHEMA = "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string"
@@ -61,6 +62,34 @@ def test_merging_by_brute_force_whole_and_split(spark):
         assert got == want
 
 
+def test_walk_over_batches_by_brute_force():
+    rng = random.Random(11)
+    bases, rows, want = ["anna schmidt", "john miller", "acme trading ltd", "bo", ""], [], []
+    for doc in range(12):
+        values = []
+        for pos in range(rng.randint(1, 30)):
+            text = list(rng.choice(bases))
+            for _ in range(rng.randint(0, 2)):
+                if text:
+                    text[rng.randrange(len(text))] = rng.choice("aeilmnrst ")
+            values.append((pos, "".join(text).strip(), rng.choice([0.4, 0.6, 0.9])))
+        rows += [{"doc_id": doc, "entity_type": "t", "part": "", "pos": p, "__text": v, "value": v, "confidence": c} for p, v, c in values]
+        want += sorted((doc, *k) for k in greedy(values))
+    names = ["doc_id", "pos", "value", "confidence"]
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist(rows[i:i + size]) for i in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in _walk(85, names)(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_groups_of_all_sizes_by_brute_force(spark):
+    data = [(d, "person_names", p, v, None, c, "", "") for d, n in ((1, 3), (2, 40)) for p, (v, c) in enumerate(
+        [("Anna Schmidt", 0.5), ("anna schmitt", 0.9 if d == 2 else 0.5), ("Bo", 0.5)] * n)]
+    # A copy without a place never stands for the others.
+    data += [(3, "person_names", p, "Bo", None, 0.5, "", "") for p in (None, 7)] + [(None, "person_names", 1, "x", None, 0.5, "", "")]
+    got = {(r["doc_id"], r["pos"], r["value"], r["confidence"]) for r in fuzzy_dedupe(spark.createDataFrame(data, SCHEMA), whole_group=20).collect()}
+    assert got == {(1, 0, "Anna Schmidt", 0.5), (1, 2, "Bo", 0.5), (2, 0, "anna schmitt", 0.9), (2, 2, "Bo", 0.5), (3, 7, "Bo", 0.5)}
+
+
 def test_ranks_over_chunks(spark):
     df = spark.range(1000).selectExpr("id % 2 AS g", "id * 3 AS pos")
     ranked = E.rank_within(df, ["g"], "pos", "rank", chunk=100)

@@ -1,10 +1,11 @@
 """Rewrites for large tables: each gives the same rows by less work."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftline import functions as X
 from siftline.checkpoints import reliable
-from siftline.operators import mapping as M, profile as P, ranks
+from siftline.operators import entities as E, fuzzy, mapping as M, profile as P, ranks
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
 from siftline.session import SETTINGS, spread
@@ -112,6 +113,65 @@ def test_entities_are_read_once_for_confidences(spark):
     assert {r["confidence_overall"] for r in found} == {0.5} and seen == 8
 
 
+def _cleaned_once(spark, monkeypatch, pick):
+    """The rows of a result and how many rows the cleaning of the dates gave in all."""
+    clean, counts = E.clean_entity_dates, []
+
+    def watched(*args, **options):
+        out, seen = counted(clean(*args, **options))
+        counts.append(seen)
+        return out
+
+    monkeypatch.setattr(E, "clean_entity_dates", watched)
+    return _posted(spark, pick)[0], sum(c.value for c in counts)
+
+
+def test_entities_are_cleaned_once_for_ids(spark, monkeypatch):
+    found, seen = _cleaned_once(spark, monkeypatch, lambda p: p.entities)
+    assert len(found) == 8 and seen == 8
+
+
+def test_entities_are_cleaned_once_for_confidences(spark, monkeypatch):
+    found, seen = _cleaned_once(spark, monkeypatch, lambda p: p.confidence)
+    assert len(found) == 2 and seen == 8
+
+
+def test_documents_with_only_unread_dates_count(spark):
+    schema = "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string"
+    done = post_process(spark.createDataFrame([(1, "dates", 1, "soon", None, 0.7, "", ""), (2, "dates", 1, "2024-01-02", None, 0.7, "", "")], schema))
+    assert sorted(map(tuple, done.confidence.collect())) == [(1, 0.0), (2, 0.7)]
+    assert [(r["doc_id"], r["id"]) for r in done.entities.collect()] == [(2, "d1")]
+
+
+def test_small_groups_are_merged_in_two_passes(spark):
+    schema = "doc_id bigint, entity_type string, pos bigint, value string, confidence double"
+    data = [(d, "person_names", p, v, c) for d in range(5) for p, (v, c) in enumerate([("Anna Schmidt", 0.5), ("anna schmitt", 0.5 + d / 10), ("Bo", 0.5)])]
+    df, seen = counted(spark.createDataFrame(data, schema))
+    out = fuzzy.fuzzy_dedupe(df)
+    assert sorted((r["doc_id"], r["value"]) for r in out.collect()) == sorted((d, v) for d in range(5) for v in ("anna schmitt" if d else "Anna Schmidt", "Bo"))
+    assert seen.value <= 2 * len(data)
+
+
+def test_copies_are_compared_once(monkeypatch):
+    calls, common = [], fuzzy._common
+    monkeypatch.setattr(fuzzy, "_common", lambda a, b: calls.append(a) or common(a, b))
+    rows = [{"doc_id": 1, "entity_type": "t", "part": "", "__text": ("anna schmidt", "anna schmitt")[i % 2], "value": str(i), "confidence": 0.5} for i in range(500)]
+    batches = [pa.RecordBatch.from_pylist(rows[i:i + 60]) for i in range(0, 500, 60)]
+    out = [r for b in fuzzy._walk(85, ["doc_id", "value"])(iter(batches)) for r in b.to_pylist()]
+    assert out == [{"doc_id": 1, "value": "0"}] and len(calls) == 1
+
+
+def test_ranks_of_small_and_large_groups(spark):
+    df = spark.range(300).selectExpr("case when id % 10 = 0 then 's' when id % 10 = 1 then null else 'l' end AS g", "id * 3 AS pos", "id AS v")
+    want = {}
+    for g, keep in (("s", lambda i: i % 10 == 0), ("l", lambda i: i % 10 > 1)):
+        want |= {(g, i): n for n, i in enumerate(filter(keep, range(300)), 1)}
+    for chunk in (100, 1000):
+        ranked = E.rank_within(df, ["g"], "pos", "rank", chunk=chunk)
+        assert {(r["g"], r["v"]): r["rank"] for r in ranked.collect()} == want
+        assert ("Join" in ranked._jdf.queryExecution().optimizedPlan().toString()) == (chunk == 100)
+
+
 def test_rows_of_one_group_are_spread(spark, tmp_path):
     spark.range(20000).coalesce(1).write.parquet(str(tmp_path / "t"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
