@@ -136,6 +136,12 @@ def test_entities_are_cleaned_once_for_confidences(spark, monkeypatch):
     assert len(found) == 2 and seen == 8
 
 
+def test_confidences_need_no_ranks(spark):
+    df = spark.createDataFrame([(1, "dates", 1, "2024-01-02", 7.0, 0.5, "", "")], "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string")
+    plan = post_process(df).confidence._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+
+
 def test_documents_with_only_unread_dates_count(spark):
     schema = "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string"
     done = post_process(spark.createDataFrame([(1, "dates", 1, "soon", None, 0.7, "", ""), (2, "dates", 1, "2024-01-02", None, 0.7, "", "")], schema))
