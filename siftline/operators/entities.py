@@ -138,7 +138,7 @@ def clean_entity_dates(entities: DataFrame, unread: str | None = None) -> DataFr
     """
     date = _only(entities, "dates")
     # A column of its own, so that a date is read once for its three uses.
-    iso = bound(X.strip(F.col("value")), lambda v: X.parse_date(v, trimmed=True))
+    iso = bound(X.strip_column(F.col("value")), lambda v: X.parse_date(v, trimmed=True))
     read = entities.withColumn("__iso", F.when(F.coalesce(date, F.lit(True)), iso))
     mark, iso = unread or "__unread", F.col("__iso")
     marked = read.withColumns({
@@ -168,18 +168,26 @@ def split_payment_methods(entities: DataFrame) -> DataFrame:
     })
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = CHUNK) -> DataFrame:
+def rank_within(
+    df: DataFrame, keys: list[str], order: str, name: str, chunk: int = CHUNK, sizes: DataFrame | None = None
+) -> DataFrame:
     """1-based rank by an integer column within a group; rows without a key or a position are left out.
 
     Rows of groups of more than ``chunk`` are ranked within chunks of ``chunk`` positions, and the chunk sizes give the
     offsets, so a group that holds a third of all rows is spread over many tasks. All other groups are ranked whole.
+    ``sizes`` has some of the keys and a number ``n`` that their rows do not exceed; then only rows of large ``n`` are counted.
     """
     columns = [*keys, *[c for c in df.columns if c not in keys], name]
     placed = df
     for c in (*keys, order):
         placed = placed.filter(F.col(c).isNotNull())
-    large = placed.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > chunk).select(*keys, F.lit(True).alias("__large"))
-    if large.isEmpty():
+    counted, heavy = placed, None
+    if sizes is not None:
+        some = [k for k in keys if k in sizes.columns]
+        heavy = sizes.filter(F.col("n") > chunk).select(*some)
+        counted = placed.join(heavy, some, "left_semi")
+    large = counted.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > chunk).select(*keys, F.lit(True).alias("__large"))
+    if (heavy is not None and heavy.isEmpty()) or large.isEmpty():
         here = Window.partitionBy(*keys).orderBy(order)
         return placed.withColumn(name, F.row_number().over(here).cast("long")).select(*columns)
     # There is at most one large group for ``chunk`` rows, so they can be sent everywhere.
@@ -200,12 +208,15 @@ def rank_within(df: DataFrame, keys: list[str], order: str, name: str, chunk: in
     )
 
 
-def assign_entity_ids(entities: DataFrame) -> DataFrame:
-    """Short ids: a prefix for the type and the rank within the document and type."""
+def assign_entity_ids(entities: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Short ids: a prefix for the type and the rank within the document and type.
+
+    ``documents`` may tell how many rows ``n`` each ``doc_id`` has at most, so that only large ones are counted by type.
+    """
     head = F.lower(F.left(F.col("entity_type"), F.lit(2)))
     known = F.create_map(*[F.lit(w) for pair in ID_PREFIXES.items() for w in pair])
     prefix = F.coalesce(F.try_element_at(known, head), F.nullif(head, F.lit("")), F.lit("x"))
-    ranked = rank_within(entities, ["doc_id", "entity_type"], "pos", "__rank")
+    ranked = rank_within(entities, ["doc_id", "entity_type"], "pos", "__rank", sizes=documents)
     return ranked.withColumn("id", F.concat(prefix, F.col("__rank").cast("string"))).drop("__rank")
 
 

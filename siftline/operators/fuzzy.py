@@ -19,8 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,19 @@ GROUP = ["doc_id", "entity_type"]
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word step per character of ``b``."""
+    """Length of the longest common subsequence, one machine-word step per character of ``b``.
+
+    Characters that both texts begin or end with belong to it anyway and are counted off first.
+    """
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail, most = 0, most - head
+    while tail < most and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if tail == most:
+        return head + tail
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
@@ -43,7 +57,7 @@ def _common(a: str, b: str) -> int:
     for ch in b:
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return head + tail + len(a) - row.bit_count()
 
 
 def similarity(a: str, b: str) -> int:
@@ -61,11 +75,11 @@ def _alike(a: str, in_a: frozenset, b: str, in_b: frozenset, threshold: int) ->
     """Whether the similarity reaches the threshold; characters that only one text holds bound it from above."""
     if a == b:
         return True
-    need = _needed(len(a) + len(b), threshold)
-    return (
-        len(a) >= need and len(b) >= need and len(a) - len(in_a - in_b) >= need and len(b) - len(in_b - in_a) >= need
-        and _common(a, b) >= need
-    )
+    of_a, of_b = len(a), len(b)
+    need = _needed(of_a + of_b, threshold)
+    if of_a < need or of_b < need:
+        return False
+    return of_a - len(in_a - in_b) >= need and of_b - len(in_b - in_a) >= need and _common(a, b) >= need
 
 
 def _values(column: pa.Array) -> list:
@@ -76,6 +90,26 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
+def _groups(batch: pa.RecordBatch, start: int, current: tuple | None) -> list[tuple[tuple, int, int]]:
+    """Key, first row and end of the runs of rows of one group, from row ``start`` on; ``current`` is the key before them."""
+    keys = [batch.column(n)[start:] for n in (*GROUP, "part")]
+    new = np.zeros(len(keys[0]) + 1, dtype=bool)
+    new[0] = new[-1] = True
+    for key in keys:
+        if pa.types.is_nested(key.type) or pa.types.is_null(key.type) or key.null_count:
+            plain = key.to_pylist()
+            new[1:-1] |= np.fromiter((a != b for a, b in zip(plain, plain[1:])), dtype=bool, count=len(plain) - 1)
+        else:
+            new[1:-1] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(new)
+    firsts = zip(*[_values(key.take(pa.array(edges[:-1]))) for key in keys])
+    # The key of before is handed on itself, so that a run that goes on is told by identity or by equality.
+    return [
+        (current if key == current else key, start + a, start + b)
+        for key, a, b in zip(firsts, edges.tolist(), edges[1:].tolist())
+    ]
+
+
 def _walk(threshold: int, names: list[str]):
     """A function over sorted batches that merges group after group and returns the columns ``names``.
 
@@ -102,29 +136,36 @@ def _walk(threshold: int, names: list[str]):
                 for i, entity in enumerate(kept):
                     entity[3] = entity[4] = i
             done: list[list] = []
-            fresh = [_values(batch.column(n)[start:]) for n in (*GROUP, "part", "__text", "confidence")]
-            for i, (doc, kind, part, text, sure) in enumerate(zip(*fresh), start):
-                sure = sure or 0.0
-                if (doc, kind, part) != current:
+            if batch.num_rows == start:
+                continue
+            texts, sures = (_values(batch.column(n)[start:]) for n in ("__text", "confidence"))
+            for key, first, end in _groups(batch, start, current):
+                if key is not current:
                     done += kept
-                    current, kept, places = (doc, kind, part), [], {}
-                place = places.get(text)
-                if place is None:
-                    held = frozenset(text)
-                    place = next((j for j, k in enumerate(kept) if _alike(k[0], k[1], text, held, threshold)), len(kept))
-                    if len(places) >= REMEMBERED:
-                        places.clear()
-                    places[text] = place
-                    if place == len(kept):
-                        kept.append([text, held, sure, i, i])
-                        continue
-                entity = kept[place]
-                if sure > entity[2]:
-                    if entity[0] != text:
-                        entity[0], entity[1] = text, frozenset(text)
-                        places.clear()
+                    current, kept, places = key, [], {}
+                for i, text, sure in zip(range(first, end), texts[first - start:end - start], sures[first - start:end - start]):
+                    sure = sure or 0.0
+                    place = places.get(text)
+                    if place is None:
+                        held = frozenset(text)
+                        place = 0
+                        for entity in kept:
+                            if _alike(entity[0], entity[1], text, held, threshold):
+                                break
+                            place += 1
+                        if len(places) >= REMEMBERED:
+                            places.clear()
                         places[text] = place
-                    entity[2], entity[4] = sure, i
+                        if place == len(kept):
+                            kept.append([text, held, sure, i, i])
+                            continue
+                    entity = kept[place]
+                    if sure > entity[2]:
+                        if entity[0] != text:
+                            entity[0], entity[1] = text, frozenset(text)
+                            places.clear()
+                            places[text] = place
+                        entity[2], entity[4] = sure, i
             if done:
                 yield rows(batch, done).select(names)
             carried = rows(batch, kept)
@@ -239,22 +280,28 @@ def _crowded(work: DataFrame, threshold: int, whole_group: int) -> DataFrame:
 
 
 def fuzzy_dedupe(
-    entities: DataFrame, threshold: int = 85, only: list[str] | None = None, whole_group: int = WHOLE_GROUP
+    entities: DataFrame, threshold: int = 85, only: list[str] | None = None, whole_group: int = WHOLE_GROUP,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Merge similar entities per document and type; ``only`` limits it to some types.
 
-    Rows without a document or a type are left out of the merging and its result.
+    Rows without a document or a type are left out of the merging and its result. ``documents`` may hold ``doc_id``, the
+    number of rows ``n`` and how many of them are ``placed``, of these rows or more; then groups are only counted in
+    documents that can have a large group or rows without a place.
     """
     chosen = F.lit(True) if only is None else F.col("entity_type").isin(only)
     work = entities.filter(chosen & F.col("doc_id").isNotNull() & F.col("entity_type").isNotNull()).withColumn(
-        "__text", F.lower(X.strip(F.coalesce(F.col("value"), F.lit(""))))
+        "__text", F.lower(F.coalesce(X.strip_column(F.col("value")), F.lit("")))
     )
     # Groups with rows that have no place are not walked as they are either: the aggregate knows which copy comes first.
-    crowded = work.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count("pos").alias("placed")).filter(
-        (F.col("n") > whole_group) | (F.col("placed") < F.col("n"))
-    ).select(*GROUP)
+    special = (F.col("n") > whole_group) | (F.col("placed") < F.col("n"))
+    counted, suspects = work, None
+    if documents is not None:
+        suspects = documents.filter(F.col("doc_id").isNotNull() & special).select("doc_id")
+        counted = work.join(suspects, "doc_id", "left_semi")
+    crowded = counted.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count("pos").alias("placed")).filter(special).select(*GROUP)
     whole = F.lit("").alias("part")
-    if crowded.isEmpty():
+    if (suspects is not None and suspects.isEmpty()) or crowded.isEmpty():
         parted = work.select("*", whole)
     else:
         parted = work.join(crowded, GROUP, "left_anti").select("*", whole).unionByName(

@@ -43,10 +43,7 @@ def _sql() -> str:
 
 
 def _entities(s, d):
-    # Only what the entities are made of is joined.
-    docs = I.messy_orders(s, d, "order_date", "total_price", "status", "priority", "city").join(
-        I.table(s, d, "orders").select(F.col("o_orderkey").alias("_row_id"), F.col("o_custkey").alias("doc_id")), "_row_id"
-    )
+    docs = I.orders_of_customers(s, d, "order_date", "total_price", "status", "priority", "city")
     # The entities of an order come from one row, so the orders are read and joined once for all types.
     parts = [
         f"named_struct('entity_type', '{t}', 'value', {c['value']}, 'number', cast({c['number']} as double),"

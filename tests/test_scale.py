@@ -8,6 +8,7 @@ from siftline.checkpoints import reliable
 from siftline.operators import entities as E, fuzzy, mapping as M, profile as P, ranks
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
+from siftline.queries import inputs as I
 from siftline.session import SETTINGS, spread
 
 
@@ -195,3 +196,74 @@ def test_numbers_in_texts_are_read_off_once(rows, monkeypatch):
     df, seen = counted(rows("a string", *[(f"${i}",) for i in range(101)]))
     row = P.numeric_stats(df).first()
     assert (row["count"], row["median"], row["stdev"] > 29) == (101, 50.0, True) and seen.value <= 3 * 101
+
+
+MIXED = "doc_id bigint, entity_type string, pos bigint, value string, number double, confidence double, currency string, label string"
+
+
+def _mixed():
+    names = ["Anna Schmidt", " anna schmitt", "Bo", "PayPal inc", "visa card", None]
+    return [(d, ("person_names", "organizations", "amounts")[p % 3], None if (d, p) == (2, 3) else p, names[(p * 5 + (d or 0)) % 6], 7.0, 0.5 + p % 4 / 10, "", "")
+            for d, n in ((1, 3), (2, 9), (3, 40), (None, 2)) for p in range(n)]
+
+
+def test_groups_are_counted_in_suspect_documents_only(spark):
+    df, seen = counted(spark.createDataFrame(_mixed(), MIXED))
+    sizes = spark.createDataFrame([(1, 3, 3), (2, 9, 8), (3, 40, 40), (None, 2, 2)], "doc_id bigint, n bigint, placed bigint")
+    known = fuzzy.fuzzy_dedupe(df, documents=sizes.withColumn("placed", F.col("n")))
+    known.collect()
+    assert seen.value <= 2 * len(_mixed())  # the walk, and the types that are not merged
+    for limit in (5, 2000):
+        plain, told = (fuzzy.fuzzy_dedupe(spark.createDataFrame(_mixed(), MIXED), whole_group=limit, documents=x) for x in (None, sizes))
+        rows = sorted(map(str, told.collect()))
+        assert rows == sorted(map(str, plain.collect())) and len(rows) > 5
+
+
+def test_ranks_with_known_sizes(spark):
+    df, seen = counted(spark.range(300).selectExpr("id % 3 AS g", "cast(id % 2 AS string) AS h", "id AS pos"))
+    sizes = spark.createDataFrame([(g, 100) for g in range(3)], "g bigint, n bigint")
+    few = E.rank_within(df, ["g", "h"], "pos", "rank", sizes=sizes)
+    assert seen.value == 0
+    many = E.rank_within(df, ["g", "h"], "pos", "rank", chunk=40, sizes=sizes)
+    want = sorted((i % 3, str(i % 2), i, i // 6 + 1) for i in range(300))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+
+
+def test_rows_are_stored_for_few_steps(spark, monkeypatch):
+    from siftline.plans import post_process as job
+
+    stored = []
+    monkeypatch.setattr(job, "reliable", lambda df: stored.append(reliable(df)) or stored[-1])
+    done = job.post_process(spark.createDataFrame(_mixed(), MIXED)).confidence.collect()
+    # Documents as many as were given; payment methods alone are stored twice.
+    assert len(done) == 4 and [s.count() for s in stored][:2] == [len(_mixed()), 4]
+    assert {r["entity_type"] for r in stored[-1].collect()} == {E.PAYMENTS}
+
+
+def test_orders_meet_their_customers(spark, tmp_path):
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    made = spark.range(60).selectExpr("id + 1 AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "id * 1.5D AS o_totalprice",
+                                      "timestamp'2024-01-02 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    odd = spark.createDataFrame([(None, 1, "O", 2.0, None, "x"), (5, 3, "O", 2.0, None, "x"), (5, None, None, None, None, None), (9, 2, "P", 2.0, None, None)], schema)
+    for name, rows in (("plain", made), ("odd", made.unionByName(odd))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/orders.parquet")
+        keys = I.table(spark, folder, "orders").selectExpr("o_orderkey AS _row_id", "o_custkey AS doc_id")
+        want = I.messy_orders(spark, folder, "status", "city", "order_date").join(keys, "_row_id")
+        got = I.orders_of_customers(spark, folder, "status", "city", "order_date")
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "odd")
+
+
+def test_a_column_is_trimmed_as_before(rows):
+    texts = ["", " ", "a", "~", "!a b!", " a", "a\u00a0", "\u3000x\u2003", "\u00e9t\u00e9", "\x1cq\x1f", "\t", "a\x85", "\x00b", "\x7f", "x\U0001f600", None]
+    df = rows("a string", *[(t,) for t in texts])
+    assert df.filter(~X.strip_column(F.col("a")).eqNullSafe(X.strip(F.col("a")))).count() == 0
+
+
+def test_shared_ends_of_texts_are_counted_off():
+    class Watched(str):
+        def __iter__(self):
+            raise AssertionError("compared character by character")
+
+    assert fuzzy._common(Watched("anna schmidt"), Watched("anna schmit")) == 11
