@@ -37,7 +37,7 @@ def _smart(s: Column) -> Column:
     iso = F.when((F.length(s) >= 6) & X.looks_like_date(s, trimmed=True), X.parse_date(s, trimmed=True))
     return (
         F.when(X.looks_like_email(s, trimmed=True), F.lower(s))
-        .when(X.looks_like_phone(s), F.regexp_replace(s, BLANK + "+", " "))
+        .when(X.looks_like_phone(s), F.when(s.rlike("[^ -~]|  "), F.regexp_replace(s, BLANK + "+", " ")).otherwise(s))
         .otherwise(F.coalesce(iso, s))
     )
 
@@ -63,7 +63,7 @@ def smart_clean_cells(df: DataFrame, types: dict[str, str] | None = None) -> Dat
     """
     types = types or {}
     # Trimmed in a projection of its own, which Spark does not inline into its many uses.
-    df = _replaced(df, {c: X.nonblank(col(c)) for c in string_columns(df)})
+    df = _replaced(df, {c: F.nullif(X.strip_column(col(c)), F.lit("")) for c in string_columns(df)})
     new = {c: _typed(col(c), types.get(c, "")) for c in string_columns(df)}
     new |= {c: F.nanvl(col(c).cast("double"), F.lit(None)) for c in numeric_columns(df)}
     return _replaced(df, new)
@@ -86,22 +86,24 @@ def prune_and_coerce(df: DataFrame, erase_unparsed: bool = False) -> DataFrame:
     ``erase_unparsed=True`` erases it.
     """
     outs, changes = [], []
-    texts = string_columns(df)
+    texts, content = string_columns(df), content_columns(df)
+    wanted = {c: F.coalesce(_coercible(c), F.lit(False)) for c in texts}
+    # The numbers stand beside the cells in a projection of their own, so each is read off once for its three uses.
+    beside = df.withColumns({f"__read{i}": F.when(wanted[c], X.parse_number(col(c))) for i, c in enumerate(texts)})
     for c in df.columns:
         if c not in texts:
             outs.append(col(c))
-            if c in content_columns(df):
+            if c in content:
                 changes.append(col(c).isNull())
             continue
-        wanted = F.coalesce(_coercible(c), F.lit(False))
-        number = F.when(wanted, X.parse_number(col(c)))
-        gone = number.isNotNull() | (wanted if erase_unparsed else F.lit(False))
+        number = col(f"__read{texts.index(c)}")
+        gone = number.isNotNull() | (wanted[c] if erase_unparsed else F.lit(False))
         outs += [
             F.when(X.present(col(c)) & ~gone, col(c)).alias(c),
             number.alias(c + NUMBER_SUFFIX),
         ]
         changes += [~X.present(col(c)), gone]
-    return df.select(*outs, any_of(changes).alias("had_norm"))
+    return beside.select(*outs, any_of(changes).alias("had_norm"))
 
 
 def settle_lanes(df: DataFrame) -> DataFrame:
@@ -165,19 +167,26 @@ def _noise(i: int) -> Column:
 
 
 def _noise_beside(df: DataFrame, profile_rows: list, dataset_type: str) -> DataFrame:
-    """``df`` with the noise removed beside the cells that need it; this column is used many times below."""
+    """``df`` with the noise removed beside the cells that need it, and dates trimmed; this column is used many times below."""
     return df.withColumns({
-        f"__clean{i}": X.clean_noise(col(r["column"])) for i, r in enumerate(profile_rows)
-        if _cleans_noise(df, r["column"], r, dataset_type)
+        f"__clean{i}": X.clean_noise(col(r["column"])) if _cleans_noise(df, r["column"], r, dataset_type)
+        else X.strip_column(col(r["column"]))
+        for i, r in enumerate(profile_rows)
+        if _cleans_noise(df, r["column"], r, dataset_type) or _reads_date(df, r["column"], r)
     })
 
 
+def _reads_date(df: DataFrame, name: str, row) -> bool:
+    return name in string_columns(df) and row["inferred_type"] == "date"
+
+
 def _by_type(
     df: DataFrame, name: str, row, dataset_type: str, clean: Column, given: Column | None = None
 ) -> tuple[Column, Column]:
     """The normalized cell, and whether it differs from a filled original.
 
-    ``clean`` is the cell without noise where ``_cleans_noise`` holds; ``given`` is the normalized cell if it is there.
+    ``clean`` is the cell without noise where ``_cleans_noise`` holds, and the trimmed one of a date; ``given`` is the
+    normalized cell if it is there.
     """
     new, differs = _normal(df, name, row, dataset_type, clean)
     return new, differs(new if given is None else given)
@@ -214,7 +223,7 @@ def _normal(df: DataFrame, name: str, row, dataset_type: str, clean: Column):
     if kind == "email":
         new = F.when(X.is_valid_email(c), F.lower(X.strip(c)))
     elif kind == "date":
-        new = X.parse_date(c)
+        new = X.parse_date(clean, trimmed=True)
     else:
         s = clean
         if kind in ("text", "categorical"):

@@ -12,8 +12,9 @@ from siftline.operators.columns import DOCUMENT, all_of, col, content_columns, f
 
 
 def _digest(parts: list[Column]) -> Column:
-    """A short exact-match key of many cells, so that the shuffle does not carry them twice."""
-    return F.unhex(F.sha2(F.to_json(F.array(*parts)), 256))
+    """A short exact-match key of many filled cells, so that the shuffle does not carry them twice. Each cell is written with
+    its length before it, so that cells cannot run into one another."""
+    return F.unhex(F.sha2(F.concat(*[t for p in parts for t in (F.length(p).cast("string"), F.lit(":"), p)]), 256))
 
 
 def _winners(df: DataFrame, key: Column, order: Column | None = None) -> DataFrame:

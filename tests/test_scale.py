@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from siftline import functions as X
 from siftline.checkpoints import reliable
+from siftline.functions import text as TEXT
 from siftline.operators import entities as E, fuzzy, mapping as M, profile as P, ranks
+from siftline.operators.cells import prune_and_coerce
+from siftline.operators.dedupe import dedupe_content
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
 from siftline.queries import inputs as I
@@ -267,3 +270,56 @@ def test_shared_ends_of_texts_are_counted_off():
             raise AssertionError("compared character by character")
 
     assert fuzzy._common(Watched("anna schmidt"), Watched("anna schmit")) == 11
+
+
+def test_names_are_judged_per_column_and_not_per_cell(rows):
+    """The test of the names is not pushed down to the cells of the profile."""
+    df = rows("mail string, n string", *[(f"a{i}@b.org", str(i)) for i in range(6)])
+    found = M.classify_fields(df)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["role"], r["column"]) for r in found.collect()] == [("email", "mail")]
+
+
+def test_numeric_text_is_read_once_for_its_lane(rows):
+    df = rows("n string", ("$1,234",), ("12",), ("2024-01-12",), ("x1",), (" ",), (None,))
+    out = prune_and_coerce(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2  # one reading looks at its number twice
+    assert [tuple(r)[1:] for r in out.orderBy("_row_id").collect()] == [
+        (None, 1234.0, True), ("12", None, False), ("2024-01-12", None, False), ("x1", None, False), (None, None, True), (None, None, True)
+    ]
+
+
+def test_easy_cells_are_cleaned_by_compiled_rules(spark):
+    """The lambdas, which Spark interprets, are left for cells that may hold garbage or a phrase."""
+    phrases = ["this page intentionally left blank", "Confidential and Proprietary", "ALL rights reserved", "printed on",
+               "generated by", "Powered By", "watermark", "draft copy", "do not distribute", "page 1 of 22"]
+    odd = {p: None for p in phrases} | {"a ..... b": "a b", "b ---": "b"}
+    cells = odd | {"page one": "page one", "  rated b ": "rated b", "-_-": "-_-", "ORD-1": "ORD-1"}
+    df = spark.createDataFrame([(v,) for v in cells], "v string")
+    out = df.select("v", X.clean_cell(F.col("v")).alias("c"), TEXT._easy(F.col("v")).alias("easy")).collect()
+    assert {r["v"]: r["c"] for r in out} == cells
+    assert not any(r["easy"] for r in out if r["v"] in odd)
+    assert "transform" not in df.select(TEXT._easy(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbers_that_cannot_be_read(spark):
+    cells = {"2024-01-12": None, "1-2": None, "5+": None, "1e-5": 1e-5, "-7": -7.0, "$-3": -3.0, "7[2]": 7.0, "8 (1-2)": 8.0,
+             "+1 (555) 123-4567": None, "(x) 5": 5.0, "€ 1,5": 15.0, None: None}
+    df = spark.createDataFrame([(v,) for v in cells], "v string").select("v", X.coerce_number(F.col("v")).alias("x"))
+    assert {r["v"]: r["x"] for r in df.collect()} == cells
+
+
+def test_numeric_looks_and_dates_with_blanks_at_the_ends(spark):
+    cells = {" 12 ": (True, True, None), " $ 1 2\n": (True, False, None), "A1": (False, False, None), "1%": (True, False, None),
+             " 2024-1-2 ": (True, False, "2024-01-02"), "2024-01-02": (True, False, "2024-01-02"), "": (False, False, None),
+             "2024-01-02\n": (True, False, "2024-01-02"), "　1,": (True, False, None), "-": (False, False, None)}
+    df = spark.createDataFrame([(v,) for v in cells], "v string").select(
+        "v", X.is_numeric_like(F.col("v")).alias("n"), X.is_bare_small_int(F.col("v")).alias("s"), X.parse_date(F.col("v")).alias("d")
+    )
+    assert {r["v"]: tuple(r)[1:] for r in df.collect()} == cells
+
+
+def test_keys_keep_their_cells_apart(rows):
+    df = rows("a string, b string", ("1:x", "y"), ("1:", "xy"), ("", "1:x"), (None, "1:x"), ("A ", "b"), ("a", "B"))
+    assert sorted(r["_row_id"] for r in dedupe_content(df).collect()) == [0, 1, 2, 4]
