@@ -7,7 +7,7 @@ from siftline import functions as X
 from siftline.checkpoints import reliable
 from siftline.functions import text as TEXT
 from siftline.operators import entities as E, fuzzy, mapping as M, profile as P, ranks
-from siftline.operators.cells import prune_and_coerce
+from siftline.operators.cells import normalized_and_counted, prune_and_coerce
 from siftline.operators.dedupe import dedupe_content
 from siftline.plans import final_clean as final, process
 from siftline.plans.post_process import post_process
@@ -323,3 +323,19 @@ def test_numeric_looks_and_dates_with_blanks_at_the_ends(spark):
 def test_keys_keep_their_cells_apart(rows):
     df = rows("a string, b string", ("1:x", "y"), ("1:", "xy"), ("", "1:x"), (None, "1:x"), ("A ", "b"), ("a", "B"))
     assert sorted(r["_row_id"] for r in dedupe_content(df).collect()) == [0, 1, 2, 4]
+
+
+def test_columns_are_trimmed_at_both_ends(spark):
+    cells = {"a": "a", " a": "a", "a\t": "a", "~": "~", "!x~": "!x~", "\x7f": "\x7f", "\x85b": "b", "é": "é", "a é ": "a é", "": "", " ": "", None: None}
+    df = spark.createDataFrame([(v,) for v in cells], "v string").select("v", TEXT.strip_column(F.col("v")).alias("s"))
+    assert {r["v"]: r["s"] for r in df.collect()} == cells
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("substring") == 1
+
+
+def test_dates_are_trimmed_once_for_the_cleaned_rows(rows):
+    df = rows("day string", (" 5 March 2024 ",), ("2024-01-02",), ("x",), (None,))
+    row = {"column": "day", "inferred_type": "date", "bool_hits": 0, "filled": 3}
+    out = normalized_and_counted(df, [row], "entity")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(day") <= 4
+    assert [tuple(r)[1:] for r in out.orderBy("_row_id").collect()] == [("2024-03-05", 1, 0), ("2024-01-02", 0, 0), (None, 1, 1), (None, 0, 0)]
